@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 #: What stands for a null id where ids are compared: it sorts before all others.
 NULL_ID = -(1 << 63)
+#: Parts of a group that may be large.
+SALTS = 32
 
 _rng = np.random.default_rng(20_240_611)
 #: Two independent random words for each byte, and odd multipliers for each place in a word.
@@ -72,12 +74,14 @@ def in_blocks(docs: DataFrame, blocks: int, ident: str = "doc_id", text: str = "
 def copies(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest, first: rows whose whole text stands under a smaller doc_id, with the smallest such id.
 
-    The groups are counted before anything is joined, and only groups of several rows are joined, on narrow rows that
-    Spark splits where one group is large.
+    The groups are counted before anything is joined, and only groups of several rows are joined, on narrow rows and by
+    digest and salt, so that one large group does not meet in one task.
     """
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("digest"))
-    groups = rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(groups, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first")
+    groups = rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    salted = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["digest", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first")
 
 
 def copy_notes(found: DataFrame, blocks: int) -> DataFrame:
@@ -239,3 +243,9 @@ def rows(schema: str, values: list[tuple]) -> pa.Table:
 def batch(schema: str, values: list[tuple]) -> pa.RecordBatch:
     t = rows(schema, values)
     return pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.columns], names=t.column_names)
+
+
+def shard_cuts(sorted_hashes: np.ndarray, bits_of_shard: int, width: int = 64) -> np.ndarray:
+    """Where each of 2**bits_of_shard ranges of the hash space begins, and the end."""
+    inner = np.arange(1, 1 << bits_of_shard, dtype=np.uint64) << np.uint64(width - bits_of_shard) if bits_of_shard else np.empty(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(sorted_hashes, inner), [len(sorted_hashes)]]).astype(np.int64)

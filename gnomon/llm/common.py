@@ -29,7 +29,7 @@ _rng = np.random.default_rng(20_240_611)
 _BYTE = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _PLACE = _rng.integers(0, 1 << 63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Odd multipliers for each place in a window of words.
-_TERM = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TERM = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +78,14 @@ def copies(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFr
     digest and salt, so that one large group does not meet in one task.
     """
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("digest"))
+    return copies_of(rows)
+
+
+def copies_of(rows: DataFrame) -> DataFrame:
+    """As copies(), of rows with doc_id and digest."""
     groups = rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first"), F.count("*").alias("n")).where("n > 1")
     salted = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    dealt = rows.select("doc_id", "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return dealt.join(salted, ["digest", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first")
 
 
@@ -149,7 +154,7 @@ def windows(hashes: np.ndarray, of_doc: np.ndarray, n: int, family: int = 0) ->
     many = len(hashes) - n + 1
     h = np.zeros(many, np.uint64)
     for j in range(n):
-        h += hashes[j : j + many] * _TERM[family][j]
+        h += hashes[j : j + many] * TERM[family][j]
     doc = np.repeat(np.arange(len(of_doc) - 1), np.diff(of_doc))
     at = np.flatnonzero(doc[:many] == doc[n - 1 :])
     return at, doc[at], mix(h[at])

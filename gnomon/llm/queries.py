@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from gnomon.llm import common as C
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gnomon.llm.toxicity import score_documents, train
+
+    docs, held = C.table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = train(docs, C.table(spark, sf_dir, "labels"), allowed=~held)
+    scored = score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gnomon.llm.token_files import read_token_files, write_token_files
 
@@ -24,6 +33,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(C.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gnomon.llm.license_scan import notices, scan
+
+    return scan(C.table(spark, sf_dir, "documents"), notices(spark))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gnomon.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(C.table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gnomon.llm.packing import pack
 
@@ -38,13 +59,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gnomon.llm.decontaminate import contaminated
+
+    return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gnomon.llm.topk import top_k
 
     return top_k(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_ids, op3_substring_dedup, op6_packing, op7_warc, op9_topk)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gnomon.llm.suffix_dedup import remove_repeated_bytes
+
+    return remove_repeated_bytes(C.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_ids, op3_substring_dedup, op4_license_scan, op5_jaccard_join, op6_packing, op7_warc, op8_decontamination, op9_topk, op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": r"""

@@ -5,6 +5,371 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from gnomon.functions import text as X
+from gnomon.operators import graph as G
+from gnomon.operators import knowledge as K
+from gnomon.operators import retrieval as R
+from gnomon.operators import runtime as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str = ""):
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+_TOKENS = "list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda t: lower(t))"
+_BM25 = f"""
+WITH tok AS (SELECT doc_id, {_TOKENS} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tok),
+q AS (SELECT item_id AS query_id, term, count(*) AS asked FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT query_id, doc_id, round(sum(asked * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+  FROM p JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM s QUALIFY rank <= 10)"""
+
+
+def _bm25(t):
+    return R.bm25(t("documents"), t("benchmark").withColumnRenamed("item_id", "query_id"))
+
+
+@query(_BM25 + " SELECT * FROM bm")
+def bm25_topk(t):
+    return _bm25(t)
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents")
+def normalize_text(t):
+    return t("documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL")
+def tokenize_counts(t):
+    return R.postings(t("documents")).select("doc_id", "term", "tf")
+
+
+@query("SELECT doc_id, 'doc_' || substr(sha256(source || chr(31) || CAST(doc_id AS VARCHAR)), 1, 16) AS id FROM documents")
+def stable_ids(t):
+    return t("documents").select("doc_id", X.stable_id("doc", F.col("source"), F.col("doc_id")).alias("id"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+s AS (SELECT doc_id, i AS index, CAST(coalesce(sum(length(chunk) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(chunk) AS length, chunk FROM l)
+SELECT * FROM s WHERE trim(chunk) <> ''""")
+def chunk_lines(t):
+    return R.chunk_lines(t("documents"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents) GROUP BY ALL),
+s AS (SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 2)) AS BIGINT) AS dim, sum(c * CASE WHEN CAST(('0x' || substr(md5(t), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM p GROUP BY ALL HAVING s <> 0)
+SELECT doc_id, dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 6) AS weight FROM s""")
+def feature_hash_embed(t):
+    return R.hash_embedding(t("documents"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(coalesce(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, score FROM s QUALIFY rank <= 10""")
+def vector_topk(t):
+    v = t("embeddings")
+    return R.cosine_top(v.select("vec_id", "embedding"), v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+
+
+_QRELS = "qrels AS (SELECT item_id AS query_id, doc_id AS object_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _qrels(t):
+    return t("documents").join(F.broadcast(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))), F.col("text").contains(F.col("item"))).select("query_id", F.col("doc_id").alias("object_id"))
+
+
+@query(_BM25 + f""", {_QRELS}, r AS (SELECT bm.query_id, bm.doc_id, rank, CASE WHEN object_id IS NULL THEN 0 ELSE 1 END AS hit FROM bm LEFT JOIN qrels ON bm.query_id = qrels.query_id AND doc_id = object_id WHERE rank <= 5),
+h AS (SELECT *, CASE WHEN hit = 1 THEN sum(hit) OVER (PARTITION BY query_id ORDER BY rank) / rank END AS hit_precision FROM r),
+g AS (SELECT query_id, sum(hit) AS hits, count(*) AS returned, min(CASE WHEN hit = 1 THEN rank END) AS first, sum(hit / log2(rank + 1)) AS dcg, sum(hit_precision) AS ap FROM h GROUP BY 1),
+m AS (SELECT query_id, count(*) AS many FROM qrels GROUP BY 1)
+SELECT query_id, round(coalesce(hits / many, 0), 6) AS recall, round(coalesce(hits / returned, 0), 6) AS precision, round(coalesce(1 / first, 0), 6) AS reciprocal_rank,
+round(coalesce(dcg / list_sum(list_transform(range(1, least(many, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, round(coalesce(ap / many, 0), 6) AS average_precision FROM m LEFT JOIN g USING (query_id)""")
+def retrieval_metrics(t):
+    return R.retrieval_metrics(_bm25(t).withColumnRenamed("doc_id", "object_id"), _qrels(t))
+
+
+@query(_BM25 + f""", {_QRELS}, l AS (SELECT query_id, doc_id AS object_id, rank FROM bm UNION ALL SELECT query_id, object_id, row_number() OVER (PARTITION BY query_id ORDER BY object_id) FROM qrels)
+SELECT query_id, object_id, round(sum(1 / (59 + rank)), 6) AS score FROM l GROUP BY ALL""")
+def rrf_fusion(t):
+    exact = _qrels(t).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("object_id")).cast("long"))
+    ranked = _bm25(t).select("query_id", F.lit("lexical").alias("method"), F.col("doc_id").alias("object_id"), "rank").unionByName(exact.select("query_id", F.lit("exact").alias("method"), "object_id", "rank"))
+    return R.reciprocal_rank_fusion(ranked)
+
+
+_EDGES = """e AS (SELECT 'supplier:' || s_suppkey AS subject, 'located_in' AS predicate, 'nation:' || s_nationkey AS object, 1.0::DOUBLE AS confidence FROM supplier
+UNION ALL SELECT 'customer:' || c_custkey, 'located_in', 'nation:' || c_nationkey, 1.0 FROM customer
+UNION ALL SELECT 'nation:' || n_nationkey, 'part_of', 'region:' || n_regionkey, 1.0 FROM nation
+UNION ALL SELECT 'supplier:' || l_suppkey, 'supplies', 'part:' || l_partkey, round(1 - avg(l_discount), 6) FROM lineitem GROUP BY l_suppkey, l_partkey)"""
+
+
+@query(f"WITH {_EDGES} SELECT * FROM e")
+def graph_edges(t):
+    return G.star_schema_graph(t)
+
+
+@query(f"WITH {_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT subject AS id FROM e UNION ALL SELECT object FROM e) GROUP BY 1) SELECT id, degree, round(degree / ((SELECT count(*) FROM d) - 1), 8) AS centrality FROM d")
+def degree_centrality(t):
+    return G.degree_centrality(G.star_schema_graph(t))
+
+
+@query(f"""WITH {_EDGES}, n AS (SELECT count(*) AS entities FROM (SELECT subject FROM e UNION SELECT object FROM e)), r AS (SELECT count(*) AS relations, count(DISTINCT (subject, predicate, object)) AS unique_edges FROM e)
+SELECT entities, relations, unique_edges, round(relations / (entities::DOUBLE * (entities - 1)), 10) AS density, round(2 * relations / entities, 6) AS average_degree FROM n, r""")
+def graph_stats(t):
+    return G.statistics(G.star_schema_graph(t))
+
+
+@query(f"""WITH {_EDGES} SELECT subject AS seed, object AS neighbor, predicate, confidence, 'out' AS direction FROM e WHERE subject LIKE 'nation:%'
+UNION ALL SELECT object, subject, predicate, confidence, 'in' FROM e WHERE object LIKE 'nation:%'""")
+def neighbors_both(t):
+    return G.neighbors(G.star_schema_graph(t), t("nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id")))
+
+
+def _rank(base: str, rounds: int = 10) -> str:
+    """Rounds of PageRank, one named table each."""
+    steps = "".join(
+        f""", l{i} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} JOIN b USING (id) WHERE dangling),
+g{i} AS (SELECT object, sum(share * rank) AS got FROM w JOIN r{i - 1} ON w.subject = r{i - 1}.id GROUP BY 1),
+r{i} AS MATERIALIZED (SELECT id, 0.15::DOUBLE * base + 0.85::DOUBLE * (coalesce(got, 0) + lost / (SELECT count(*) FROM v)) AS rank FROM b LEFT JOIN g{i} ON id = object, l{i})"""
+        for i in range(1, rounds + 1)
+    )
+    return f"""WITH {_EDGES}, v AS MATERIALIZED (SELECT subject AS id FROM e UNION SELECT object FROM e), o AS (SELECT subject, sum(abs(confidence)) AS total FROM e GROUP BY 1 HAVING total > 0),
+w AS MATERIALIZED (SELECT subject, object, sum(greatest(0, confidence) / total) AS share FROM e JOIN o USING (subject) GROUP BY ALL),
+b AS MATERIALIZED (SELECT id, {base} AS base, o.subject IS NULL AS dangling FROM v LEFT JOIN o ON id = o.subject), r0 AS (SELECT id, base AS rank FROM b){steps}
+SELECT id, round(rank, 8) AS rank FROM r{rounds}"""
+
+
+@query(_rank("1.0::DOUBLE / (SELECT count(*) FROM v)"))
+def pagerank_10(t):
+    return G.pagerank(G.star_schema_graph(t), 10)
+
+
+@query(_rank("CASE WHEN id LIKE 'region:%' THEN 0.2::DOUBLE ELSE 0.0 END"))
+def ppr_10(t):
+    return G.pagerank(G.star_schema_graph(t), 10, seeds=t("region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id")))
+
+
+@query("""SELECT 'order' AS subject, o_orderstatus AS predicate, o_orderpriority AS object, min(o_orderkey) AS id, arg_max(o_totalprice, o_orderkey) AS confidence, string_agg(DISTINCT CAST(o_custkey % 5 AS VARCHAR), ',' ORDER BY CAST(o_custkey % 5 AS VARCHAR)) AS sources
+FROM orders GROUP BY ALL""")
+def edge_merge(t):
+    o = t("orders")
+    return G.merge_edges(o.select(F.lit("order").alias("subject"), F.col("o_orderstatus").alias("predicate"), F.col("o_orderpriority").alias("object"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("confidence"), (F.col("o_custkey") % 5).cast("string").alias("source")))
+
+
+@query("""WITH e AS (SELECT 'n' || n_nationkey AS x, 'r' || n_regionkey AS y FROM nation), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e)
+SELECT p.x AS a, q.x AS b, count(*) AS shared FROM b p JOIN b q ON p.y = q.y AND p.x < q.x WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.x = p.x AND z.y = q.x) GROUP BY ALL""")
+def gap_missing_relation(t):
+    n = t("nation")
+    return G.open_triads(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("subject"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("object")))
+
+
+_CLAIMS = """c AS (SELECT o_custkey || ':' || o_orderstatus AS id, CAST(o_custkey AS VARCHAR) AS subject, 'order_status' AS predicate, o_orderstatus AS object,
+round(least(1, avg(o_totalprice) / 500000), 6) AS confidence, count(*) AS evidence, count(*) FILTER (o_totalprice >= 100000) AS supporting, count(*) FILTER (o_totalprice < 20000) AS contradicting,
+count(DISTINCT o_orderpriority) AS sources, 0.5::DOUBLE AS quality, max(o_orderdate) AS observed FROM orders GROUP BY o_custkey, o_orderstatus)"""
+
+
+def _claims(t):
+    key = F.concat_ws(":", F.col("o_custkey").cast("string"), "o_orderstatus")
+    price = F.col("o_totalprice")
+    return t("orders").groupBy("o_custkey", "o_orderstatus").agg(
+        F.first(key).alias("id"), F.first(F.col("o_custkey").cast("string")).alias("subject"), F.first(F.lit("order_status")).alias("predicate"), F.round(F.least(F.lit(1.0), F.avg(price) / 500000.0), 6).alias("confidence"),
+        F.count("*").alias("evidence"), F.count_if(price >= 100000).alias("supporting"), F.count_if(price < 20000).alias("contradicting"), F.count_distinct("o_orderpriority").alias("sources"), F.first(F.lit(0.5)).alias("quality"), F.max(F.col("o_orderdate").cast("timestamp")).alias("observed"),
+    ).withColumnRenamed("o_orderstatus", "object").drop("o_custkey")
+
+
+_SCORED = f"""WITH {_CLAIMS}, s AS (SELECT *, least(1, greatest(0, confidence + 0.15::DOUBLE * least(5, supporting) - 0.35::DOUBLE * least(5, contradicting) + 0.15::DOUBLE * (2 * quality - 1) + 0.1::DOUBLE * least(1, sources / 3.0::DOUBLE)
+ + 0.1::DOUBLE * (exp(-greatest(0, (epoch(TIMESTAMP '2000-01-01') - epoch(observed)) / 86400.0::DOUBLE) / 365.0::DOUBLE) - 0.5))) AS raw FROM c),
+u AS (SELECT id, round(raw, 6) AS score, round(1 - raw, 6) AS uncertainty, supporting, contradicting FROM s)
+SELECT id, score, uncertainty, CASE WHEN contradicting > 0 AND contradicting >= supporting AND supporting = 0 THEN 'refuted' WHEN contradicting > 0 AND contradicting >= supporting THEN 'contradicted'
+WHEN supporting > 0 AND score >= 0.7 THEN 'verified' WHEN supporting > 0 THEN 'supported' WHEN score < 0.4 THEN 'uncertain' ELSE 'unverified' END AS state FROM u"""
+
+
+@query(_SCORED)
+def claim_uncertainty(t):
+    return K.uncertainty(_claims(t), F.lit("2000-01-01").cast("timestamp")).select("id", "score", "uncertainty", "state")
+
+
+@query(f"SELECT state, count(*) AS claims FROM ({_SCORED}) GROUP BY 1")
+def verification_state(t):
+    return K.uncertainty(_claims(t), F.lit("2000-01-01").cast("timestamp")).groupBy("state").agg(F.count("*").alias("claims"))
+
+
+@query(f"""WITH {_CLAIMS} SELECT x.subject, x.predicate, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(least(1, x.confidence * y.confidence * (1 + x.evidence + y.evidence) / 3), 6) AS strength
+FROM c x JOIN c y ON x.subject = y.subject AND x.predicate = y.predicate AND lower(x.object) < lower(y.object)""")
+def conflicting_claims(t):
+    return K.conflicting_claims(_claims(t))
+
+
+_GAPS = f"""WITH {_CLAIMS}, g AS (SELECT id AS claim_id, 'low_confidence' AS kind, round(1 - confidence, 6) AS uncertainty, 1.0::DOUBLE AS cost FROM c WHERE confidence < 0.4
+UNION ALL SELECT id, 'unsupported_claim', round(1 - confidence, 6), 1.0 FROM c WHERE supporting = 0 UNION ALL SELECT id, 'missing_evidence', 0.6, 1.0 FROM c WHERE evidence < 1 UNION ALL SELECT id, 'low_diversity', 0.5, 1.0 FROM c WHERE sources < 2)"""
+
+
+def _gaps(t):
+    return K.gaps(_claims(t).withColumn("state", F.lit("unverified")))
+
+
+@query(_GAPS + " SELECT * FROM g")
+def claim_gaps(t):
+    return _gaps(t)
+
+
+@query(_GAPS + " SELECT claim_id, kind, round(0.5::DOUBLE * (1 - uncertainty) * 0.5 + uncertainty * 0.5, 9) AS priority FROM g")
+def gaps_ranked(t):
+    return _gaps(t).select("claim_id", "kind", F.round(K.priority(F.lit(0.5), F.col("uncertainty")), 9).alias("priority"))
+
+
+@query(_GAPS + """, s AS (SELECT *, least(1, greatest(0, CASE kind WHEN 'low_confidence' THEN 0.2::DOUBLE + 0.8::DOUBLE * uncertainty WHEN 'unsupported_claim' THEN 0.4::DOUBLE * uncertainty + 0.2::DOUBLE + 0.2::DOUBLE
+WHEN 'missing_evidence' THEN 0.3::DOUBLE + 0.7::DOUBLE * uncertainty WHEN 'low_diversity' THEN 0.25::DOUBLE + 0.75::DOUBLE * uncertainty END)) AS raw FROM g)
+SELECT claim_id, kind, round(raw, 6) AS gain, round(raw * 0.5 * uncertainty / cost, 6) AS score FROM s""")
+def investigation_score(t):
+    return K.investigation_score(_gaps(t).withColumn("importance", F.lit(0.5))).select("claim_id", "kind", "gain", "score")
+
+
+@query(_GAPS + " SELECT claim_id, kind, round(CAST('0x' || substr(sha256('7:' || claim_id || kind), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE, 6) AS score FROM g")
+def investigation_random(t):
+    return _gaps(t).select("claim_id", "kind", F.round(K.random_score(F.concat("claim_id", "kind"), 7), 6).alias("score"))
+
+
+_EVIDENCE = """e AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS subject, 'order_status' AS predicate, o_orderstatus AS object, o_orderpriority AS source_id, round(least(1, o_totalprice / 300000), 6) AS confidence,
+CAST(substr(o_orderpriority, 1, 1) AS BIGINT) / 5.0::DOUBLE AS quality FROM orders)"""
+
+
+def _evidence(t):
+    return t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("subject"), F.lit("order_status").alias("predicate"), F.col("o_orderstatus").alias("object"), F.col("o_orderpriority").alias("source_id"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 300000.0), 6).alias("confidence"), (F.substring("o_orderpriority", 1, 1).cast("long") / 5.0).alias("quality"))
+
+
+@query(f"WITH {_EVIDENCE} SELECT o_orderkey, CASE WHEN o_orderkey > min(o_orderkey) OVER p THEN min(o_orderkey) OVER p END AS duplicate_of FROM e WINDOW p AS (PARTITION BY subject, object, source_id)")
+def evidence_dedup(t):
+    return K.dedupe_evidence(_evidence(t), ["subject", "object", "source_id"], "o_orderkey").select("o_orderkey", "duplicate_of")
+
+
+@query(f"WITH {_EVIDENCE} SELECT o_orderkey, round(sqrt(confidence * quality), 9) AS strength, CASE WHEN sqrt(confidence * quality) >= 0.7 THEN 'strong' WHEN sqrt(confidence * quality) >= 0.4 THEN 'moderate' ELSE 'weak' END AS grade FROM e")
+def evidence_grades(t):
+    s = X.strength(F.col("confidence"), F.col("quality"))
+    return _evidence(t).select("o_orderkey", F.round(s, 9).alias("strength"), X.grade(s).alias("grade"))
+
+
+_EVALUATED = f"""WITH {_EVIDENCE}, g AS (SELECT *, confidence >= 0.5 AND quality >= 0.5 AS good FROM e),
+o AS (SELECT subject, predicate, object, count(*) FILTER (good) AS accepted, count(*) FILTER (NOT good) AS low_quality, coalesce(sum(confidence * quality) FILTER (good), 0) AS support, count(DISTINCT source_id) FILTER (good) AS sources, avg(quality) FILTER (good) AS mean_quality FROM g GROUP BY ALL),
+a AS (SELECT *, sum(support) OVER p - support AS against, CAST(sum(accepted) OVER p - accepted AS BIGINT) AS opposing FROM o WINDOW p AS (PARTITION BY subject, predicate)),
+v AS (SELECT *, round(CASE WHEN accepted > 0 THEN least(1, greatest(0, support / accepted * support / (support + against))) ELSE 0 END, 9) AS aggregate FROM a)"""
+
+
+@query(_EVALUATED + " SELECT subject, object, accepted, low_quality, sources, opposing, aggregate FROM v")
+def claim_evaluation(t):
+    return K.evaluate_claims(_evidence(t)).select("subject", "object", "accepted", "low_quality", "sources", "opposing", "aggregate")
+
+
+@query(_EVALUATED + """ SELECT subject, object, CASE WHEN opposing > 0 AND accepted > 0 THEN 'contradicted' WHEN accepted = 0 OR sources < 2 THEN 'insufficient' WHEN mean_quality < 0.5 THEN 'uncertain'
+WHEN aggregate >= 0.7 THEN 'confirmed' WHEN aggregate >= 0.5 THEN 'probable' ELSE 'uncertain' END AS decision FROM v""")
+def claim_verification(t):
+    return K.verify(K.evaluate_claims(_evidence(t))).select("subject", "object", "decision")
+
+
+_PREDICTED = "p AS (SELECT least(0.999::DOUBLE, n_chars / 4000.0::DOUBLE) AS p, quality AS label FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"""WITH {_PREDICTED}, b AS (SELECT least(9, CAST(floor(p * 10) AS BIGINT)) AS bin, count(*) AS n, avg(p) AS p, avg(label) AS y FROM p GROUP BY 1) SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS error FROM b""")
+def calibration_error(t):
+    return K.calibration_error(t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").select(F.least(F.lit(0.999), F.col("n_chars") / 4000.0).alias("p"), F.col("quality").alias("label")))
+
+
+@query(f"WITH {_PREDICTED} SELECT round(avg(CAST((p >= 0.5) = (label = 1) AS INT)), 6) AS accuracy FROM p")
+def claim_accuracy(t):
+    rows = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.agg(F.round(F.avg(((F.least(F.lit(0.999), F.col("n_chars") / 4000.0) >= 0.5) == (F.col("quality") == 1)).cast("int")), 6).alias("accuracy"))
+
+
+_LOG = """l AS (SELECT user_id AS task, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'QUEUED' WHEN 'signup' THEN 'CLAIMED' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED' END AS state FROM events)"""
+
+
+def _log(t):
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "QUEUED").when(kind == "signup", "CLAIMED").when(kind == "click", "RUNNING").when(kind == "purchase", "SUCCEEDED").otherwise("FAILED")
+    return t("events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), "ts", state.alias("state"))
+
+
+@query(f"""WITH {_LOG}, p AS (SELECT task, seq, lag(state) OVER (PARTITION BY task ORDER BY seq) AS previous, state FROM l)
+SELECT * FROM p WHERE previous IS NOT NULL AND NOT (previous = 'QUEUED' AND state IN ('CLAIMED', 'FAILED') OR previous = 'CLAIMED' AND state IN ('RUNNING', 'FAILED') OR previous = 'RUNNING' AND state IN ('SUCCEEDED', 'FAILED'))""")
+def illegal_transitions(t):
+    return T.illegal_transitions(_log(t))
+
+
+@query(f"""WITH {_LOG}, n AS (SELECT arg_max(state, seq) AS state FROM l GROUP BY task), s AS (SELECT unnest(['QUEUED', 'CLAIMED', 'RUNNING', 'FAILED', 'RETRY_WAIT', 'CANCEL_REQUESTED', 'DEAD_LETTERED', 'SUCCEEDED', 'CANCELLED']) AS state)
+SELECT state, count(n.state) AS tasks FROM s LEFT JOIN n USING (state) GROUP BY 1""")
+def task_state_counts(t):
+    return T.state_counts(_log(t), list(T.TRANSITIONS))
+
+
+@query(f"""WITH {_LOG}, h AS (SELECT task, seq, state, round((epoch_us(lead(ts) OVER (PARTITION BY task ORDER BY seq)) - epoch_us(ts)) / 1000000, 3) AS held FROM l) SELECT task, seq, held FROM h WHERE state IN ('CLAIMED', 'RUNNING') AND (held IS NULL OR held >= 3600)""")
+def expired_leases(t):
+    return T.expired_leases(_log(t), 3600)
+
+
+@query("""WITH w AS (SELECT user_id AS worker, max(ts) AS last FROM events GROUP BY 1) SELECT worker, last FROM w WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(last) >= 6 * 3600 * 1000000::BIGINT""")
+def unhealthy_workers(t):
+    e = t("events")
+    return T.unhealthy_workers(e.select(F.col("user_id").alias("worker"), "ts"), F.lit(e.agg(F.max("ts")).first()[0]), 6 * 3600)
+
+
+@query("SELECT o_orderkey AS task, CAST(o_orderkey % 5 AS BIGINT) AS attempt, least(1.0::DOUBLE * pow(2, greatest(0, o_orderkey % 5 - 1)), 60) AS delay FROM orders")
+def retry_schedule(t):
+    n = F.col("o_orderkey") % 5
+    return t("orders").select(F.col("o_orderkey").alias("task"), n.alias("attempt"), X.retry_delay(n).alias("delay"))
+
+
+@query("""WITH q AS (SELECT o_orderkey AS task, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) * 10 AS priority, o_orderdate AS created FROM orders WHERE o_orderstatus = 'O'),
+a AS (SELECT task, priority + CAST(floor((epoch(TIMESTAMP '2000-01-01') - epoch(created)) / (86400 * 30)) AS BIGINT) AS aged, created FROM q) SELECT task, aged, row_number() OVER (ORDER BY aged DESC, created, task) AS rank FROM a""")
+def priority_aging_rank(t):
+    rows = t("orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("task"), (F.substring("o_orderpriority", 1, 1).cast("long") * 10).alias("priority"), F.col("o_orderdate").alias("created"))
+    return T.priority_aging(rows, F.lit("2000-01-01").cast("timestamp"), 86400 * 30).select("task", "aged", "rank")
+
+
+@query("SELECT user_id AS run, count(*) AS version, arg_max(props, event_id) AS payload FROM events GROUP BY 1")
+def checkpoint_latest(t):
+    return T.checkpoint_latest(t("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.col("props").alias("payload")))
+
+
+@query("SELECT event_type AS name, count(*) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+def metrics_snapshot(t):
+    return T.metrics_snapshot(t("events").select(F.col("event_type").alias("name"), "value"))
+
+
+@query("SELECT split_part('user.' || event_type, '.', 1) AS topic, event_type, count(*) AS events FROM events GROUP BY ALL")
+def event_topics(t):
+    return t("events").select(X.topic(F.concat(F.lit("user."), "event_type")).alias("topic"), "event_type").groupBy("topic", "event_type").agg(F.count("*").alias("events"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def event_dedup(t):
+    return t("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_flat(t):
+    return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT conv_id AS run, count(*) AS steps, min(turn) AS first, max(turn) AS last, arg_max(role, turn) AS phase FROM conversations GROUP BY 1")
+def run_steps(t):
+    return t("conversations").groupBy(F.col("conv_id").alias("run")).agg(F.count("*").alias("steps"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.max_by("role", "turn").alias("phase"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS used FROM conversations) SELECT conv_id AS run, min(turn) AS paused_at FROM s WHERE used > 1500 GROUP BY 1""")
+def budget_pause_point(t):
+    used = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0))
+    return t("conversations").withColumn("used", used).where("used > 1500").groupBy(F.col("conv_id").alias("run")).agg(F.min("turn").alias("paused_at"))

@@ -244,12 +244,12 @@ def investigation_random(t):
     return _gaps(t).select("claim_id", "kind", F.round(K.random_score(F.concat("claim_id", "kind"), 7), 6).alias("score"))
 
 
-_EVIDENCE = """e AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS subject, 'order_status' AS predicate, o_orderstatus AS object, o_orderpriority AS source_id, round(least(1, o_totalprice / 300000), 6) AS confidence,
+_EVIDENCE = """e AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS subject, 'order_status' AS predicate, o_orderstatus AS object, o_orderpriority AS source_id, least(1, o_totalprice / 300000) AS confidence,
 CAST(substr(o_orderpriority, 1, 1) AS BIGINT) / 5.0::DOUBLE AS quality FROM orders)"""
 
 
 def _evidence(t):
-    return t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("subject"), F.lit("order_status").alias("predicate"), F.col("o_orderstatus").alias("object"), F.col("o_orderpriority").alias("source_id"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 300000.0), 6).alias("confidence"), (F.substring("o_orderpriority", 1, 1).cast("long") / 5.0).alias("quality"))
+    return t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("subject"), F.lit("order_status").alias("predicate"), F.col("o_orderstatus").alias("object"), F.col("o_orderpriority").alias("source_id"), F.least(F.lit(1.0), F.col("o_totalprice") / 300000.0).alias("confidence"), (F.substring("o_orderpriority", 1, 1).cast("long") / 5.0).alias("quality"))
 
 
 @query(f"WITH {_EVIDENCE} SELECT o_orderkey, CASE WHEN o_orderkey > min(o_orderkey) OVER p THEN min(o_orderkey) OVER p END AS duplicate_of FROM e WINDOW p AS (PARTITION BY subject, object, source_id)")

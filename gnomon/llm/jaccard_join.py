@@ -38,6 +38,8 @@ from gnomon.llm.components import components
 
 N, PERCENT = 5, 80
 SPARE, CUTS = 1.25, 4
+#: Cells of the space in which signatures are counted, for each expected signature; repeated ones are few, and meet in as much fewer shards.
+CELLS, FEWER = 512, 4
 #: Signatures in a shard on average; features in a task of exact comparison at most; sets of a signature compared at once.
 SHARD, GROUP, FEW = 2 << 20, 8 << 20, 16
 COPY, SEEN, MEMBER = 0, 1, 2
@@ -195,7 +197,7 @@ def _seen(group: pa.Table) -> pa.Table:
     return C.rows(_NOTE, [(x["block"], SEEN, 0, x["shard"], C.bits(f)) for x, f in zip(rows, flags, strict=True)])
 
 
-def _found(n: int, levels: Levels, width: int, shards: int):
+def _found(n: int, levels: Levels, width: int, shards: int, fewer: int):
     def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
@@ -208,7 +210,7 @@ def _found(n: int, levels: Levels, width: int, shards: int):
             begin = np.cumsum(b.sizes) - b.sizes
             wide = levels.width[levels.band(b.sizes) + 1]
             made = {int(d): sketch(b.features[begin[d] : begin[d] + b.sizes[d]], int(wide[d])).tobytes() for d in np.unique(doc)}
-            cut = C.shard_cuts(sig, shards)
+            cut = C.shard_cuts(sig, fewer)
             for shard, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if y > x:
                     there, index = np.unique(doc[x:y], return_inverse=True)
@@ -374,7 +376,7 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, group: i
     folder = C.shared_dir(spark)
     blocks = C.block_count(docs, text, block_bytes)
     expected = blocks * block_bytes // 4
-    width, shards = C.cell_bits(expected), max(0, (expected // SHARD).bit_length())
+    width, shards = C.cell_bits(expected, CELLS), max(0, (expected // SHARD).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,7 +393,7 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, group: i
     left = lambda: rows.groupBy("block")
     sent = left().cogroup(note.groupBy("block")).applyInArrow(_send(n, levels, width, shards), _SENT)
     known = note.unionByName(sent.groupBy("shard").applyInArrow(_seen, _NOTE))
-    held = left().cogroup(known.groupBy("block")).applyInArrow(_found(n, levels, width, shards), _FOUND)
+    held = left().cogroup(known.groupBy("block")).applyInArrow(_found(n, levels, width, shards, max(0, shards - FEWER)), _FOUND)
     near = components(held.groupBy("shard").applyInArrow(_candidates(levels), _LINK))
 
     # Tasks of exact comparison: many small components in one, or two chunks of a large one.

@@ -99,7 +99,7 @@ class Levels:
 
 def signatures(features: np.ndarray, sizes: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all sets: signature, index of the set, level."""
-    out = []
+    out = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
     begin = np.cumsum(sizes) - sizes
     for step in (0, 1):
         left = np.flatnonzero(sizes)

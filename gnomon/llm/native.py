@@ -64,7 +64,7 @@ def found_places(docs: DataFrame, ident: str, text: str, shingles: DataFrame, pa
     base = held(docs.select(F.col(ident), word_list(F.col(text)).alias("raw")), "words", F.col("raw")).drop("raw")
     base = held(base, "h", F.transform("words", lambda w: F.xxhash64(w)))
     out = None
-    for size in sorted({r["size"] for r in known}):
+    for size in sorted({r["size"] for r in known}) or [1]:  # without patterns, one round that finds nothing
         field = np.zeros(FIELD, np.uint8)
         field[[r["sh"] % FIELD for r in known if r["size"] == size]] = 1
         rows = base.select(ident, "words", "h", F.explode(_admitted(field, size)).alias("at")).withColumn("sh", shingle(F.col("h"), F.col("at"), size)).drop("h")

@@ -157,6 +157,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     raw_ids = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cut.astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
                     yield pa.RecordBatch.from_pydict({"file": [name] * (b - a), "doc_id": pa.array(f.ids[a:b], pa.int64(), mask=f.null[a:b]), "local": f.before[a:b], "n_tokens": np.diff(f.before[a : b + 1]), "ids": raw_ids})
 
+    if not manifest.head(1):
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     rows = files.mapInArrow(run, "file string, doc_id long, local long, n_tokens long, ids binary")
     # One row for each file, however many documents it holds.

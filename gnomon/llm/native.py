@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Places of the bit field (a byte each), and shingles of patterns that it and a broadcast may hold.
-FIELD, BOUND = 1 << 20, 1 << 18
+FIELD, BOUND = 1 << 18, 1 << 18
 
 
 def word_list(text: Column) -> Column:

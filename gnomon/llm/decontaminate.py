@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gnomon.llm import common as C
 from gnomon.llm import native as V
 
 N, PERCENT, RADIUS = 5, 80, 19
@@ -55,20 +56,22 @@ def _blocks(radius: int) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, n: int = N, percent: int = PERCENT, radius: int = RADIUS, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity: the best similarity of a window of the document with the item, of at least percent / 100."""
     items = items.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("item_text"))
-    shingles = V.pattern_shingles(items, "item_id", "item_text", n)
+    folder = C.shared_dir(docs.sparkSession)
+    shingles = C.written(V.pattern_shingles(items, "item_id", "item_text", n), f"{folder}/shingles")
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = V.found_places(docs, "doc_id", "text", shingles, "item_id")
+    rows = V.found_places(docs, "doc_id", "text", shingles)
     begin = F.col("at") - F.col("place") + 1
     first = F.greatest(F.lit(1), begin)
     window = F.slice("words", first, F.greatest(F.lit(1), begin + F.col("many") - first))
-    # Copies of a window, within a document or in thousands, go on as one row.
+    # Copies of a window, within a document or in thousands, go on as one row. Written, so that texts are searched once.
     owners = rows.select("doc_id", window.alias("window")).withColumn("key", F.sha2(F.concat_ws(" ", "window"), 256)).groupBy("doc_id", "key").agg(F.first("window").alias("window"))
+    owners = C.written(owners, f"{folder}/windows")
     distinct = owners.groupBy("key").agg(F.first("window").alias("window"))
     ours = _weights(distinct, ["key"], "window", n)
     listed = V.held(items.select("item_id", V.word_list(F.col("item_text")).alias("raw")), "window", F.col("raw")).where(F.size("window") > 0).dropDuplicates(["item_id", "window"])
     # An item is known by its place in the table of distinct texts, so that rows with one id stay apart.
     listed = listed.withColumn("item_key", F.sha2(F.concat_ws(" ", F.col("item_id").cast("string"), F.concat_ws(" ", "window")), 256))
-    theirs = _weights(listed, ["item_key"], "window", n)
+    theirs = C.written(_weights(listed, ["item_key"], "window", n), f"{folder}/weights")
     a = _fingerprints(ours, "key")
     b = _fingerprints(theirs, "item_key").withColumnsRenamed({"print": "other", "total": "other_total"})
     left = a.select("key", "print", "total", F.inline(_blocks(radius)))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gnomon.llm import common as C
 from gnomon.llm import native as V
 
 N, PERCENT, BANDS = 5, 80, 48
@@ -49,23 +50,22 @@ def notices(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, templates: DataFrame, n: int = N, percent: int = PERCENT, bands: int = BANDS, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, template_id, license, containment, windows (how many windows hold the template)."""
     templates = templates.where(F.col("template_id").isNotNull())
-    shingles = V.pattern_shingles(templates, "template_id", "text", n)
+    folder = C.shared_dir(docs.sparkSession)
+    shingles = C.written(V.pattern_shingles(templates, "template_id", "text", n), f"{folder}/shingles")
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = V.found_places(docs, "doc_id", "text", shingles, "template_id")
+    rows = V.found_places(docs, "doc_id", "text", shingles)
     # The size class of the template and the two windows that the place lies in.
     stride = F.pow(F.lit(2), F.ceil(F.log2(F.col("many") - F.col("size") + 1))).cast("int")
     rows = rows.withColumn("stride", stride).withColumn("number", F.floor((F.col("at") - 1) / F.col("stride")).cast("int"))
     spots = rows.select("doc_id", "words", "stride", "size", F.explode(F.array("number", F.col("number") - 1)).alias("number")).where("number >= 0")
     windows = spots.select("doc_id", "stride", "size", "number", F.slice("words", F.col("number") * F.col("stride") + 1, 2 * F.col("stride") + F.col("size") - 1).alias("window"))
     windows = windows.withColumn("key", F.sha2(F.concat_ws(" ", "window"), 256))
-    owners = windows.groupBy("doc_id", "stride", "size", "number", "key").agg(F.first("window").alias("window"))
+    # Written, as they are read three times: the texts are searched once.
+    owners = C.written(windows.groupBy("doc_id", "stride", "size", "number", "key").agg(F.first("window").alias("window")), f"{folder}/windows")
     distinct = owners.groupBy("key", "size", "stride").agg(F.first("window").alias("window"))
     grams = V.held(distinct, "h", F.transform("window", lambda w: F.xxhash64(w)))
-    parts = [grams.where(F.col("size") == s).select("key", "size", "stride", "h", F.explode(V.places(F.col("h"), s)).alias("i")).select("key", "size", "stride", V.shingle(F.col("h"), F.col("i"), s).alias("sh")) for s in range(1, n + 1)]
-    ours = parts[0]
-    for p in parts[1:]:
-        ours = ours.unionByName(p)
-    ours = ours.distinct()
+    spread = grams.select("key", "size", "stride", "h", F.explode(V.places(F.col("h"), F.col("size"))).alias("i"))
+    ours = spread.select("key", "size", "stride", V.shingle(F.col("h"), F.col("i"), n, F.col("size")).alias("sh")).distinct()
     theirs = shingles.withColumn("stride", stride).select("template_id", "size", "stride", "sh").distinct()
     least = [F.min(F.xxhash64("sh", F.lit(b))).alias(f"m{b}") for b in range(bands)]
     banded = lambda df, key: df.groupBy(key, "size", "stride").agg(*least).select(key, "size", "stride", F.posexplode(F.array(*[f"m{b}" for b in range(bands)])).alias("band", "value"))

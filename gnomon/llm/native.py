@@ -24,27 +24,24 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def shingle(hashes: Column, at: Column, n: int) -> Column:
-    """The hash of n words from the 1-based place on."""
-    return F.xxhash64(*[F.element_at(hashes, (at + F.lit(j)).cast("int")) for j in range(n)])
+def shingle(hashes: Column, at: Column, n: int, size: Column | None = None) -> Column:
+    """The hash of n words (or of size words, n at most) from the 1-based place on; xxhash64 passes over nulls."""
+    word = lambda j: F.element_at(hashes, (at + F.lit(j)).cast("int"))
+    return F.xxhash64(*[word(j) if size is None else F.when(F.lit(j) < size, word(j)) for j in range(n)])
 
 
-def places(hashes: Column, n: int) -> Column:
+def places(hashes: Column, n: int | Column) -> Column:
     """The 1-based places of all shingles of n words."""
-    return F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
 
 
 def pattern_shingles(patterns: DataFrame, ident: str, text: str, n: int) -> DataFrame:
     """ident, many (words), size (words of a shingle: n, or all words of a shorter pattern), place (1-based), sh."""
     words = held(patterns.select(F.col(ident).cast("long").alias(ident) if dict(patterns.dtypes)[ident] != "string" else F.col(ident), word_list(F.col(text)).alias("raw")), "h", F.transform("raw", lambda w: F.xxhash64(w)))
-    words = words.where(F.size("h") > 0).withColumn("many", F.size("h"))
-    out = None
-    for size in range(1, n + 1):
-        some = words.where(F.col("many") >= n if size == n else F.col("many") == size)
-        rows = some.select(ident, "many", F.lit(size).alias("size"), F.col("h"), F.explode(places(F.col("h"), size)).alias("place"))
-        rows = rows.select(ident, "many", "size", "place", shingle(F.col("h"), F.col("place"), size).alias("sh"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    words = words.where(F.size("h") > 0).withColumn("many", F.size("h")).withColumn("size", F.least(F.lit(n), "many"))
+    rows = words.select(ident, "many", "size", "h", F.explode(places(F.col("h"), F.col("size"))).alias("place"))
+    return rows.select(ident, "many", "size", "place", shingle(F.col("h"), F.col("place"), n, F.col("size")).alias("sh"))
 
 
 def _admitted(field: np.ndarray, size: int) -> Column:
@@ -53,21 +50,22 @@ def _admitted(field: np.ndarray, size: int) -> Column:
     return F.filter(places(F.col("h"), size), lambda i: F.substring(bits, (F.pmod(shingle(F.col("h"), i, size), F.lit(FIELD)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
 
 
-def found_places(docs: DataFrame, ident: str, text: str, shingles: DataFrame, pattern: str) -> DataFrame:
+def found_places(docs: DataFrame, ident: str, text: str, shingles: DataFrame) -> DataFrame:
     """ident, words, at (1-based place in the text), and the pattern's columns: one row for each shingle of a pattern in a text.
 
-    shingles (from pattern_shingles) must hold at most BOUND rows; they are read to make the bit field.
+    shingles (from pattern_shingles) must hold at most BOUND rows; they are read to make the bit fields, one for each
+    size of a shingle, and texts are read once for all sizes.
     """
-    known = shingles.select("sh", "size").distinct().limit(BOUND + 1).collect()
+    known = shingles.select("sh", "size").limit(BOUND + 1).collect()
     if len(known) > BOUND:
         raise ValueError(f"patterns have more than {BOUND} shingles")
     base = held(docs.select(F.col(ident), word_list(F.col(text)).alias("raw")), "words", F.col("raw")).drop("raw")
     base = held(base, "h", F.transform("words", lambda w: F.xxhash64(w)))
-    out = None
-    for size in sorted({r["size"] for r in known}) or [1]:  # without patterns, one round that finds nothing
+    sizes, spots = sorted({r["size"] for r in known}) or [1], []  # without patterns, one round that finds nothing
+    for size in sizes:
         field = np.zeros(FIELD, np.uint8)
         field[[r["sh"] % FIELD for r in known if r["size"] == size]] = 1
-        rows = base.select(ident, "words", "h", F.explode(_admitted(field, size)).alias("at")).withColumn("sh", shingle(F.col("h"), F.col("at"), size)).drop("h")
-        rows = rows.join(F.broadcast(shingles.where(F.col("size") == size)), "sh")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        kind = F.lit(size).alias("size")
+        spots.append(F.transform(_admitted(field, size), lambda i: F.struct(i.alias("at"), kind)))  # noqa: B023
+    rows = base.select(ident, "words", "h", F.inline(F.concat(*spots))).withColumn("sh", shingle(F.col("h"), F.col("at"), max(sizes), F.col("size"))).drop("h")
+    return rows.join(F.broadcast(shingles), ["sh", "size"])

@@ -86,3 +86,79 @@ def open_triads(edges: DataFrame, top: int | None = None) -> DataFrame:
     pairs = both.select(F.col("y").alias("mid"), F.col("x").alias("a")).join(both.select(F.col("y").alias("mid"), F.col("x").alias("b")), "mid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     rest = pairs.join(both.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
     return rest if top is None else rest.orderBy(F.desc("shared"), "a", "b").limit(top)
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """x, y: both directions of every edge once, without loops."""
+    return edges.select(F.col("subject").alias("x"), F.col("object").alias("y")).unionByName(edges.select(F.col("object").alias("x"), F.col("subject").alias("y"))).where("x <> y").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, component: the smallest id that edges reach in either direction.
+
+    Each round takes the neighbours' least label and then the label of that label, so the rounds grow with the logarithm
+    of the longest way. Labels are written each round; RuntimeError if they still change after `rounds`.
+    """
+    both = cut_lineage(undirected(edges))
+    labels = cut_lineage(nodes(edges).withColumn("component", F.col("id")))
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("id").alias("y"), "component"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("got"))
+        least = cut_lineage(labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("got", "component")).alias("component")))
+        jump = least.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        moved = cut_lineage(least.join(jump, "component").select("id", "old", F.col("next").alias("component")))
+        labels = moved.select("id", "component")
+        if moved.where("old <> component").isEmpty():
+            return labels
+    raise RuntimeError(f"components still change after {rounds} rounds")
+
+
+def traversal(edges: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "both") -> DataFrame:
+    """id, depth: what is reached from the seeds (id) in at most `depth` steps, with the fewest steps; seeds at 0."""
+    out = edges.select(F.col("subject").alias("x"), F.col("object").alias("y"))
+    back = edges.select(F.col("object").alias("x"), F.col("subject").alias("y"))
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"no such direction: {direction}")
+    moves = (out if direction == "out" else back if direction == "in" else out.unionByName(back)).distinct()
+    front = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    seen = front
+    for step in range(1, depth + 1):
+        reached = moves.join(front.select(F.col("id").alias("x")), "x").select(F.col("y").alias("id")).distinct()
+        front = cut_lineage(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(step)))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
+    """The edges between nodes that a traversal in both directions reaches."""
+    inside = cut_lineage(traversal(edges, seeds, depth).select("id"))
+    kept = edges.join(inside.withColumnRenamed("id", "subject"), "subject", "left_semi")
+    return kept.join(inside.withColumnRenamed("id", "object"), "object", "left_semi").select(edges.columns)
+
+
+def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, longest: int = 4) -> DataFrame:
+    """source, target, path, hops, weight: directed paths without repeated nodes, of at most `longest` edges.
+
+    Of parallel edges the one with the smallest predicate counts; the weight is the product of confidences.
+    """
+    hop = edges.groupBy("subject", "object").agg(F.min_by("confidence", "predicate").alias("c"))
+    rows = sources.select(F.col("id").alias("source"), F.array("id").alias("path"), F.col("id").alias("subject"), F.lit(1.0).alias("weight"))
+    ends = targets.select(F.col("id").alias("subject")).distinct()
+    found = None
+    for length in range(longest + 1):
+        if length:
+            rows = rows.join(hop, "subject").where(~F.array_contains("path", F.col("object"))).select("source", F.array_append("path", F.col("object")).alias("path"), F.col("object").alias("subject"), (F.col("weight") * F.col("c")).alias("weight"))
+        here = rows.join(ends, "subject", "left_semi").select("source", F.col("subject").alias("target"), F.array_join("path", ">").alias("path"), F.lit(length).alias("hops"), F.round("weight", 6).alias("weight"))
+        found = here if found is None else found.unionByName(here)
+    return found
+
+
+def query_edges(edges: DataFrame, predicate: str | None = None, subject: str | None = None, obj: str | None = None, top: int = 100) -> DataFrame:
+    """The first `top` edges, in order of their three names, that agree with every name given."""
+    for column, value in (("predicate", predicate), ("subject", subject), ("object", obj)):
+        edges = edges if value is None else edges.where(F.col(column) == value)
+    return edges.orderBy("subject", "predicate", "object").limit(top)
+
+
+def disconnected(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entities (id) that no edge touches, as gaps: id, kind, uncertainty, cost."""
+    return entities.select("id").distinct().join(nodes(edges), "id", "left_anti").select("id", F.lit("disconnected_entity").alias("kind"), F.lit(1.0).alias("uncertainty"), F.lit(2.0).alias("cost"))

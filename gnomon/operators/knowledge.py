@@ -97,3 +97,10 @@ def calibration_error(predictions: DataFrame, bins: int = 10) -> DataFrame:
     """error: of rows (p, label 0/1) the mean distance of bins' mean p and mean label, weighted by their rows."""
     rows = predictions.groupBy(F.least(F.lit(bins - 1), F.floor(F.col("p") * bins)).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("label").alias("y"))
     return rows.agg(F.round(F.coalesce(F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n"), F.lit(0.0)), 6).alias("error"))
+
+
+def evidence_conflicts(evidence: DataFrame) -> DataFrame:
+    """subject, predicate, a, b, evidence: objects of one subject and predicate that both have evidence, and how much of it."""
+    one = evidence.groupBy("subject", "predicate", "object").agg(F.count("*").alias("n"))
+    pair = one.alias("x").join(one.alias("y"), ["subject", "predicate"]).where(F.col("x.object") < F.col("y.object"))
+    return pair.select("subject", "predicate", F.col("x.object").alias("a"), F.col("y.object").alias("b"), (F.col("x.n") + F.col("y.n")).alias("evidence"))

@@ -86,3 +86,12 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> Dat
         zero(F.col("dcg") / ideal).alias("ndcg"),
         zero(F.col("ap") / F.col("many")).alias("average_precision"),
     )
+
+
+def chunk_overlap(chunks: DataFrame, documents: DataFrame, overlap: int) -> DataFrame:
+    """Chunks (doc_id, index, start, length, chunk) that begin `overlap` characters before the end of the one before."""
+    end = F.col("start") + F.col("length")
+    before = F.lag(end).over(W.partitionBy("doc_id").orderBy("index"))
+    rows = chunks.select("doc_id", "index", F.greatest(F.lit(0), F.coalesce(before - overlap, "start")).alias("start"), end.alias("end"))
+    joined = rows.join(documents.select("doc_id", "text"), "doc_id")
+    return joined.select("doc_id", "index", "start", "end", F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("chunk"))

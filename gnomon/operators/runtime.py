@@ -66,3 +66,11 @@ def checkpoint_latest(log: DataFrame) -> DataFrame:
 
 def metrics_snapshot(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("count"), F.round(F.sum("value"), 4).alias("sum"), F.round(F.avg("value"), 6).alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def policy_decisions(requests: DataFrame, grants: DataFrame, approval: list[str]) -> DataFrame:
+    """Adds decision to requests (actor, capability, destructive): DENY without a grant, REQUIRE_APPROVAL for what is
+    destructive or listed, else ALLOW."""
+    held = grants.select("actor", "capability").distinct().withColumn("granted", F.lit(True))
+    ask = F.col("destructive") | F.col("capability").isin(*approval)
+    return requests.join(held, ["actor", "capability"], "left").withColumn("decision", F.when(F.col("granted").isNull(), "DENY").when(ask, "REQUIRE_APPROVAL").otherwise("ALLOW")).drop("granted")

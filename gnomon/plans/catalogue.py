@@ -373,3 +373,72 @@ def run_steps(t):
 def budget_pause_point(t):
     used = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0))
     return t("conversations").withColumn("used", used).where("used > 1500").groupBy(F.col("conv_id").alias("run")).agg(F.min("turn").alias("paused_at"))
+
+
+def _labels(rounds: int) -> str:
+    """Rounds of the least label of neighbours, one named table each."""
+    steps = "".join(f", c{i} AS MATERIALIZED (SELECT l.id, least(l.label, coalesce(min(m.label), l.label)) AS label FROM c{i - 1} l LEFT JOIN b ON l.id = b.x LEFT JOIN c{i - 1} m ON b.y = m.id GROUP BY l.id, l.label)" for i in range(1, rounds + 1))
+    return f"""WITH {_EDGES}, b AS MATERIALIZED (SELECT subject AS x, object AS y FROM e UNION SELECT object, subject FROM e),
+c0 AS (SELECT DISTINCT x AS id, x AS label FROM b){steps} SELECT id, label AS component FROM c{rounds}"""
+
+
+@query(_labels(12))
+def components(t):
+    return G.components(G.star_schema_graph(t))
+
+
+def _regions(t):
+    return t("region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
+
+
+@query(f"""WITH {_EDGES}, b AS (SELECT subject AS x, object AS y FROM e UNION SELECT object, subject FROM e), a AS (SELECT 'region:' || r_regionkey AS id FROM region),
+one AS (SELECT DISTINCT y AS id FROM b JOIN a ON x = id), two AS (SELECT DISTINCT y AS id FROM b JOIN one ON x = id)
+SELECT id, 0 AS depth FROM a UNION ALL SELECT id, 1 FROM one WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, 2 FROM two WHERE id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM one)""")
+def traversal_depth2(t):
+    return G.traversal(G.star_schema_graph(t), _regions(t), 2)
+
+
+@query(f"""WITH {_EDGES}, r AS (SELECT 'region:' || r_regionkey AS id FROM region), s AS (SELECT id FROM r UNION SELECT subject FROM e JOIN r ON object = id)
+SELECT e.* FROM e WHERE subject IN (SELECT id FROM s) AND object IN (SELECT id FROM s)""")
+def subgraph_nodes(t):
+    return G.subgraph(G.star_schema_graph(t), _regions(t), 1)
+
+
+@query("""SELECT 'supplier:' || s_suppkey AS source, 'region:' || n_regionkey AS target, 'supplier:' || s_suppkey || '>nation:' || s_nationkey || '>region:' || n_regionkey AS path, 2 AS hops, 1.0::DOUBLE AS weight
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def paths_weighted(t):
+    suppliers = t("supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
+    return G.paths(G.star_schema_graph(t), suppliers, _regions(t), 3)
+
+
+@query(f"WITH {_EDGES} SELECT * FROM e WHERE predicate = 'located_in' AND object = 'nation:3' ORDER BY subject LIMIT 100")
+def query_graph_filter(t):
+    return G.query_edges(G.star_schema_graph(t), predicate="located_in", obj="nation:3")
+
+
+@query(f"""WITH {_EDGES}, s AS (SELECT subject AS id FROM e WHERE predicate = 'located_in' UNION SELECT object FROM e WHERE predicate = 'located_in')
+SELECT 'part:' || p_partkey AS id, 'disconnected_entity' AS kind, 1.0::DOUBLE AS uncertainty, 2.0::DOUBLE AS cost FROM part WHERE 'part:' || p_partkey NOT IN (SELECT id FROM s)""")
+def gap_disconnected(t):
+    parts = t("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
+    return G.disconnected(parts, G.star_schema_graph(t).where("predicate = 'located_in'"))
+
+
+@query(f"""WITH {_EVIDENCE}, o AS (SELECT subject, predicate, object, count(*) AS n FROM e GROUP BY ALL)
+SELECT x.subject, x.predicate, x.object AS a, y.object AS b, x.n + y.n AS evidence FROM o x JOIN o y ON x.subject = y.subject AND x.predicate = y.predicate AND x.object < y.object""")
+def evidence_conflicts(t):
+    return K.evidence_conflicts(_evidence(t))
+
+
+@query("""WITH g AS (SELECT DISTINCT user_id, event_type FROM events WHERE value >= 50)
+SELECT event_id, CASE WHEN g.user_id IS NULL THEN 'DENY' WHEN e.event_type IN ('error', 'purchase') THEN 'REQUIRE_APPROVAL' ELSE 'ALLOW' END AS decision FROM events e LEFT JOIN g ON e.user_id = g.user_id AND e.event_type = g.event_type""")
+def policy_decision(t):
+    e = t("events").select("event_id", F.col("user_id").alias("actor"), F.col("event_type").alias("capability"), (F.col("event_type") == "error").alias("destructive"), "value")
+    return T.policy_decisions(e, e.where("value >= 50"), ["purchase"]).select("event_id", "decision")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+s AS (SELECT doc_id, i, CAST(coalesce(sum(length(chunk) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(chunk) AS n, chunk FROM l),
+o AS (SELECT doc_id, i AS index, greatest(0, coalesce(lag(start + n) OVER (PARTITION BY doc_id ORDER BY i) - 20, start)) AS start, start + n AS end FROM s WHERE trim(chunk) <> '')
+SELECT doc_id, index, o.start, o.end, substring(text, CAST(o.start + 1 AS BIGINT), CAST(o.end - o.start AS BIGINT)) AS chunk FROM o JOIN documents USING (doc_id)""")
+def chunk_overlap(t):
+    return R.chunk_overlap(R.chunk_lines(t("documents")), t("documents"), 20)

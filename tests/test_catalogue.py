@@ -19,7 +19,7 @@ def plain(rows):
     return sorted(repr(tuple(round(x, 6) if isinstance(x, float) else x for x in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "normalize_text", "stable_ids", "chunk_lines", "vector_topk", "graph_stats", "neighbors_both", "claim_uncertainty", "conflicting_claims", "claim_gaps", "claim_evaluation", "claim_verification", "illegal_transitions", "task_state_counts", "expired_leases", "priority_aging_rank"])
+@pytest.mark.parametrize("name", ["bm25_topk", "normalize_text", "stable_ids", "chunk_lines", "vector_topk", "graph_stats", "neighbors_both", "claim_uncertainty", "conflicting_claims", "claim_gaps", "claim_evaluation", "claim_verification", "illegal_transitions", "task_state_counts", "expired_leases", "priority_aging_rank", "components", "traversal_depth2", "subgraph_nodes", "paths_weighted", "query_graph_filter", "gap_disconnected", "evidence_conflicts", "policy_decision", "chunk_overlap"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -63,3 +63,11 @@ def test_calibration_of_perfect_predictions(spark):
 def test_transitions(spark):
     log = spark.createDataFrame([(1, 1, "QUEUED"), (1, 2, "CLAIMED"), (1, 3, "SUCCEEDED")], "task long, seq long, state string")
     assert [tuple(r) for r in T.illegal_transitions(log).collect()] == [(1, 3, "CLAIMED", "SUCCEEDED")]
+
+
+def test_components_and_paths(spark):
+    edges = spark.createDataFrame([("b", "p", "a", 0.5), ("c", "p", "b", 0.5), ("c", "p", "a", 0.2), ("x", "p", "x", 1.0), ("d", "p", "c", 1.0)], "subject string, predicate string, object string, confidence double")
+    assert {r["id"]: r["component"] for r in G.components(edges).collect()} == dict.fromkeys("abcd", "a") | {"x": "x"}
+    ends = [spark.createDataFrame([(x,)], "id string") for x in "da"]
+    assert sorted((r["path"], r["weight"]) for r in G.paths(edges, *ends).collect()) == [("d>c>a", 0.2), ("d>c>b>a", 0.25)]
+    assert {r["id"]: r["depth"] for r in G.traversal(edges, ends[0], 2, "out").collect()} == {"d": 0, "c": 1, "a": 2, "b": 2}

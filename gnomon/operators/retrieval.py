@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,14 +56,44 @@ def hash_embedding(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
     return rows.select(ident, "dim", F.round(F.col("s") / norm, 6).alias("weight"))
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """query_id, vec_id, rank, score: exact cosine; queries (query_id, q) are a stated, bounded set."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v, q = F.col("embedding"), F.col("q")
-    norm = F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))
-    scored = vectors.crossJoin(F.broadcast(queries)).withColumn("score", F.round(F.when(norm > 0, dot(v, q) / norm).otherwise(0.0), 6))
+def cosine_top(vectors: DataFrame, queries: DataFrame, top: int = 10, block_rows: int = 8192, chunk_rows: int = 2048) -> DataFrame:
+    """query_id, vec_id, rank, score: exact cosine of every query (query_id, q) and vector (vec_id, embedding).
+
+    Vectors are dealt into blocks and queries into chunks, both of bounded size; every chunk meets every block, and only a
+    block's best `top` of each query become rows. Null and zero vectors, and those of another length, have score 0.
+    """
+    blocks, chunks = max(1, -(-vectors.count() // block_rows)), max(1, -(-queries.count() // chunk_rows))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), upto(chunks).alias("chunk"))
+    right = queries.select(F.col("query_id").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id", "q", F.lit(5)), F.lit(chunks)).cast("int").alias("chunk"), upto(blocks).alias("block"))
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(_best_cosines(top), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("query_id", "vec_id", "rank", "score")
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("query_id", "vec_id", "rank", "score")
+
+
+def _best_cosines(top: int):
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if rows.num_rows and asked.num_rows:
+            rows = rows.sort_by("id")
+            lists, wanted = ([x if x and None not in x else [] for x in t.column("v").to_pylist()] for t in (rows, asked))
+            ids, names = rows.column("id").to_pylist(), asked.column("id").to_pylist()
+            for size in {len(q) for q in wanted}:
+                v = np.array([x if len(x) == size else [0.0] * size for x in lists], np.float64).reshape(len(lists), size)
+                mine = [i for i, q in enumerate(wanted) if len(q) == size]
+                for i in range(0, len(mine), 256):
+                    q = np.array([wanted[j] for j in mine[i : i + 256]], np.float64).reshape(len(mine[i : i + 256]), size)
+                    norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
+                    score = np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=~(norm <= 0))
+                    score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0  # half up, as SQL rounds
+                    key = np.where(np.isnan(score), np.inf, score)
+                    for j, k, s in zip(mine[i : i + 256], key, score, strict=True):
+                        some = np.flatnonzero(k >= np.partition(k, max(0, len(k) - top))[max(0, len(k) - top)])
+                        out += [(names[j], ids[x], float(s[x])) for x in some[np.argsort(-k[some], kind="stable")[:top]]]
+        cols = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    return run
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, k: int = 60) -> DataFrame:

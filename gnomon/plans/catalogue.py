@@ -86,6 +86,13 @@ def vector_topk(t):
     return R.cosine_top(v.select("vec_id", "embedding"), v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(coalesce(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, score FROM s QUALIFY rank <= 10""")
+def vector_topk_all(t):
+    v = t("embeddings")
+    return R.cosine_top(v.select("vec_id", "embedding"), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+
+
 _QRELS = "qrels AS (SELECT item_id AS query_id, doc_id AS object_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 

@@ -71,3 +71,28 @@ def test_components_and_paths(spark):
     ends = [spark.createDataFrame([(x,)], "id string") for x in "da"]
     assert sorted((r["path"], r["weight"]) for r in G.paths(edges, *ends).collect()) == [("d>c>a", 0.2), ("d>c>b>a", 0.25)]
     assert {r["id"]: r["depth"] for r in G.traversal(edges, ends[0], 2, "out").collect()} == {"d": 0, "c": 1, "a": 2, "b": 2}
+
+
+def against_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    rows = df.select(cols).collect()
+    assert plain(rows) == plain(con.execute(f"select {', '.join(cols)} from ({ORACLE[name]})").fetchall())
+    return rows
+
+
+def test_vector_search_asks_every_query(spark):
+    asked = {r["query_id"] for r in against_sql(spark, "vector_topk_all")}
+    ids = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert asked == {r[0] for r in ids.where("vec_id % 50 = 0").select("vec_id").collect()} and len(asked) > 5
+
+
+def test_vector_search_in_blocks(spark):
+    v = spark.createDataFrame([(i, None if i == 7 else [float(i % 5 - 2), float(i % 3), 1.0 * (i % 4)]) for i in range(60)], "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    one, many = R.cosine_top(v, q, 4).collect(), R.cosine_top(v, q, 4, 7, 5).collect()
+    assert plain(one) == plain(many) and len(one) == 240
+    assert [tuple(r)[1:] for r in sorted(one) if r["query_id"] == 7] == [(i, i + 1, 0.0) for i in range(4)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -430,6 +431,16 @@ def gap_disconnected(t):
     return G.disconnected(parts, G.star_schema_graph(t).where("predicate = 'located_in'"))
 
 
+_ENTITIES = (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("region", "r_regionkey"), ("part", "p_partkey"))
+
+
+@query(f"""WITH {_EDGES}, n AS ({" UNION ALL ".join(f"SELECT '{k}:' || {c} AS id FROM {k}" for k, c in _ENTITIES)})
+SELECT DISTINCT id, 'disconnected_entity' AS kind, 1.0::DOUBLE AS uncertainty, 2.0::DOUBLE AS cost FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE subject = id OR object = id)""")
+def gap_disconnected_all(t):
+    ids = [t(k).select(F.concat(F.lit(k + ":"), F.col(c).cast("string")).alias("id")) for k, c in _ENTITIES]
+    return G.disconnected(reduce(DataFrame.unionByName, ids), G.star_schema_graph(t))
+
+
 @query(f"""WITH {_EVIDENCE}, o AS (SELECT subject, predicate, object, count(*) AS n FROM e GROUP BY ALL)
 SELECT x.subject, x.predicate, x.object AS a, y.object AS b, x.n + y.n AS evidence FROM o x JOIN o y ON x.subject = y.subject AND x.predicate = y.predicate AND x.object < y.object""")
 def evidence_conflicts(t):

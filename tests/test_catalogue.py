@@ -96,3 +96,14 @@ def test_vector_search_in_blocks(spark):
     one, many = R.cosine_top(v, q, 4).collect(), R.cosine_top(v, q, 4, 7, 5).collect()
     assert plain(one) == plain(many) and len(one) == 240
     assert [tuple(r)[1:] for r in sorted(one) if r["query_id"] == 7] == [(i, i + 1, 0.0) for i in range(4)]
+
+
+def test_disconnected_entities_of_the_whole_graph(spark, tmp_path):
+    con = duckdb.connect()
+    for t in TABLES:
+        spark.read.parquet(f"{SF}/{t}.parquet").where({"lineitem": "l_partkey > 2", "nation": "n_regionkey <> 2"}.get(t, "true")).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = QUERIES["gap_disconnected_all"](spark, str(tmp_path)).select("id", "kind", "uncertainty", "cost").collect()
+    assert sorted(r["id"] for r in rows) == ["part:0", "part:1", "part:2", "region:2"]
+    assert plain(rows) == plain(con.execute(f"select id, kind, uncertainty, cost from ({ORACLE['gap_disconnected_all']})").fetchall())
+    assert against_sql(spark, "gap_disconnected_all") == []

@@ -1,9 +1,12 @@
 """A training corpus from `documents`: five stages, each written as Parquet and read again as the next one's input.
 
 toxicity: documents that the network scores at 0.3 or more go. ngram_jaccard: of each group of linked documents the one
-with the smallest id stays. suffix_dedup: byte strings of 100 that stand earlier are cut out of the texts; a character
+with the smallest (id, MD5 of the text) stays. suffix_dedup: byte strings of 100 that stand earlier are cut out of the texts; a character
 cut in two is dropped whole, and n_chars follows the text. decontamination: documents that hold a benchmark item go.
 packing: what is left becomes sequences of 4096 ids; one row for each piece.
+
+Defined cases: every row is a document of its own, whatever other rows share its id or have none; a null id is smaller
+than all. Texts without words are linked with nothing and all stay in ngram_jaccard.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ THRESHOLD = 0.3
 TOKENIZER, END = "word_bpe_49k.json", 2
 
 
-def _same(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["id"])
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,20 +36,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_groups(docs)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(stays, _same(docs, stays), "left_semi").dropDuplicates(["doc_id"])
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).withColumn("_row", F.xxhash64(*docs.columns))
+    groups = jaccard_groups(rows, ident="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    named = rows.select("_row", F.struct(F.coalesce("doc_id", F.lit(C.NULL_ID)), _digest("text"), "_row").alias("place")).join(groups, "_row")
+    stays = named.groupBy("component_id").agg(F.min("place").alias("least")).select(F.col("least._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns).unionByName(docs.where(~worded))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = remove_repeated_bytes(docs).select(F.col("doc_id").alias("id"), "kept_text")
-    joined = docs.join(cut, _same(docs, cut)).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
+    cut = remove_repeated_bytes(docs).select(F.col("doc_id").alias("id"), "digest", "kept_text").dropDuplicates(["id", "digest"])
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]) & (_digest("text") == cut["digest"])).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
     return joined.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(docs, C.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(found, _same(docs, found), "left_anti")
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    found = contaminated(docs.select(row.alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(found, row == found["id"], "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

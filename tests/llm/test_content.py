@@ -48,3 +48,20 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns and kept.count() <= before.count(), name
     pieces = corpus_pipeline.run(spark, SF)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_keeps_rows_with_null_and_repeated_ids(spark, odd_docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    more = [(None, words("n", 30)), (None, words("m", 30)), (7, words("k", 30)), (7, words("p", 9) + " " + item), (None, ""), (None, None), (None, item + " " + words("r", 9))]
+    docs = odd_docs.unionByName(spark.createDataFrame([(i, t, None, None, None, "b", "w") for i, t in more], odd_docs.schema)).repartition(3)
+    text, long = " ".join(f"a{i}" for i in range(60)), " ".join(f"w{i}" for i in range(30_000))
+    expected = [(1, None), (2, ""), (3, "  \n\t "), (4, "one two"), (8, long), (9, "x " * 400), (None, text), (10, "é" * 300), *more]
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, SF)
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    assert kept.columns == docs.columns and pairs(kept) == sorted(expected, key=repr)
+    cut = corpus_pipeline.suffix_dedup(spark, kept, SF)
+    short = {9, 10}  # they repeat themselves; the item after "p0" stands earlier, in a row without id
+    after = lambda rows: sorted(((i, t or "") for i, t in rows if i not in short and item not in (t or "") and not (t or "").startswith("p0 ")), key=repr)
+    assert cut.count() == len(expected) and after(pairs(cut)) == after(expected)
+    clean = corpus_pipeline.decontamination(spark, kept, SF)
+    assert pairs(clean) == sorted([x for x in expected if item not in (x[1] or "")], key=repr)

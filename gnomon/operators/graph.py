@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gnomon.functions.storage import cut_lineage
@@ -88,6 +89,39 @@ def open_triads(edges: DataFrame, top: int | None = None) -> DataFrame:
     return rest if top is None else rest.orderBy(F.desc("shared"), "a", "b").limit(top)
 
 
+def missing_relations(edges: DataFrame, top: int = 60, seeds: int = 400) -> DataFrame:
+    """The first `top` rows of open_triads(), without all pairs of a hub.
+
+    Pairs among the `seeds` nodes of highest degree give a count that the last of the top pairs has at least (floor). Nodes
+    of lower degree are out. Each other node leaves out some of its most frequent neighbours (at most floor - 1), in one
+    order for all nodes: what two nodes share beyond their counted neighbours is at most what one of them left out, so
+    every pair that may reach the floor is found, and few are counted in full. Only without `top` pairs among the seeds
+    is every pair of a group made.
+    """
+    both = cut_lineage(undirected(edges))
+    degree = cut_lineage(both.groupBy("x").agg(F.count("*").alias("degree")))
+    side = lambda df, name: df.select("y", F.col("x").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c == "loose"])
+    unlinked = lambda pairs: pairs.join(both.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
+    first = both.join(F.broadcast(degree.orderBy(F.desc("degree"), "x").limit(seeds).select("x")), "x")
+    tried = unlinked(side(first, "a").join(side(first, "b"), "y").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")))
+    least = lambda pairs, column: pairs.orderBy(F.desc(column)).limit(top).agg(F.count("*"), F.min(column)).first()
+    many, floor = least(tried, "shared")
+    floor = floor if many == top else 1
+
+    loose = F.when(F.col("degree") < 4 * floor, floor - 1).otherwise((floor - 1) // 4).alias("loose")
+    rows = both.join(degree.where(F.col("degree") >= floor).select("x", loose), "x").join(degree.select(F.col("x").alias("y"), "degree"), "y")
+    rows = cut_lineage(rows)
+    place = F.row_number().over(W.partitionBy("x").orderBy(F.desc("degree"), "y"))
+    out = rows.withColumn("place", place).where(F.col("place") <= floor - 1).where(F.col("place") <= F.col("loose")).select("x", "y")
+    kept = cut_lineage(rows.select("x", "y", "loose").join(out, ["x", "y"], "left_anti"))
+    pairs = side(kept, "a").join(side(kept, "b"), "y").where("a < b").groupBy("a", "b").agg(F.count("*").alias("counted"), F.max(F.greatest("loose_a", "loose_b")).alias("more"))
+    pairs = cut_lineage(unlinked(pairs.where(F.col("counted") + F.col("more") >= floor)))
+    many, better = least(pairs, "counted")
+    pairs = pairs.where(F.col("counted") + F.col("more") >= (max(floor, better) if many == top else floor)).select("a", "b")
+    shared = pairs.join(both.withColumnRenamed("x", "a"), "a").join(both.withColumnRenamed("x", "b"), ["b", "y"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return shared.orderBy(F.desc("shared"), "a", "b").limit(top)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """x, y: both directions of every edge once, without loops."""
     return edges.select(F.col("subject").alias("x"), F.col("object").alias("y")).unionByName(edges.select(F.col("object").alias("x"), F.col("subject").alias("y"))).where("x <> y").distinct()

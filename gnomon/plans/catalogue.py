@@ -185,6 +185,12 @@ def gap_missing_relation(t):
     return G.open_triads(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("subject"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("object")))
 
 
+@query(f"""WITH {_EDGES}, b AS MATERIALIZED (SELECT subject AS x, object AS y FROM e WHERE subject <> object UNION SELECT object, subject FROM e WHERE subject <> object)
+SELECT p.x AS a, q.x AS b, count(*) AS shared FROM b p JOIN b q ON p.y = q.y AND p.x < q.x WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.x = p.x AND z.y = q.x) GROUP BY ALL ORDER BY shared DESC, a, b LIMIT 60""")
+def gap_missing_relation_all(t):
+    return G.missing_relations(G.star_schema_graph(t))
+
+
 _CLAIMS = """c AS (SELECT o_custkey || ':' || o_orderstatus AS id, CAST(o_custkey AS VARCHAR) AS subject, 'order_status' AS predicate, o_orderstatus AS object,
 round(least(1, avg(o_totalprice) / 500000), 6) AS confidence, count(*) AS evidence, count(*) FILTER (o_totalprice >= 100000) AS supporting, count(*) FILTER (o_totalprice < 20000) AS contradicting,
 count(DISTINCT o_orderpriority) AS sources, 0.5::DOUBLE AS quality, max(o_orderdate) AS observed FROM orders GROUP BY o_custkey, o_orderstatus)"""

@@ -107,3 +107,14 @@ def test_disconnected_entities_of_the_whole_graph(spark, tmp_path):
     assert sorted(r["id"] for r in rows) == ["part:0", "part:1", "part:2", "region:2"]
     assert plain(rows) == plain(con.execute(f"select id, kind, uncertainty, cost from ({ORACLE['gap_disconnected_all']})").fetchall())
     assert against_sql(spark, "gap_disconnected_all") == []
+
+
+def test_missing_relations_of_the_whole_graph(spark):
+    rows = against_sql(spark, "gap_missing_relation_all")
+    assert len(rows) == 60 and {r["a"].split(":")[0] for r in rows} == {"part", "supplier"}
+
+
+def test_missing_relations_leave_no_pair_out(spark):
+    edges = spark.createDataFrame([(f"n{i * i % 37}", "p", f"n{i * 7 % 23}", 1.0) for i in range(300)] + [(f"n{i}", "p", "hub", 1.0) for i in range(37)], "subject string, predicate string, object string, confidence double")
+    for top, seeds in ((5, 6), (20, 12), (5000, 40)):
+        assert G.missing_relations(edges, top, seeds).collect() == G.open_triads(edges, top).collect()

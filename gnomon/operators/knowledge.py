@@ -1,4 +1,4 @@
-"""Claims: uncertainty, states, contradictions, gaps, investigation scores, evidence fusion and verification."""
+"""Claims: uncertainty, states, contradictions, gaps, investigation scores, deduplication of evidence and verification."""
 
 from __future__ import annotations
 

@@ -407,7 +407,10 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, group: i
     asked = small.unionByName(cut).withColumn("block", C.block_of(F.col("doc_id"), blocks))
     sets = left().cogroup(asked.groupBy("block")).applyInArrow(_members(n), _SET)
     linked_ = sets.groupBy("task").applyInArrow(_exact(levels), _LINK)
-    exact = components(linked_)
+    # An id that stands with other texts too ties a copy's group to theirs.
+    several = sizes.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    ties = found.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    exact = components(linked_.unionByName(ties))
     first = sizes.join(found.select("doc_id", "digest", "first"), ["doc_id", "digest"], "left").withColumn("node", F.coalesce("first", "doc_id"))
     spread = exact.select(F.col("id").alias("node"), "component", F.explode(F.sequence(F.lit(0), F.lit(C.SALTS - 1))).alias("salt"))
     out = first.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(C.SALTS)).cast("int")).join(spread, ["node", "salt"], "left")

@@ -154,3 +154,11 @@ def test_signatures_meet():
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(30, 40), (40, 50), (60, 50)], "u long, v long")
     assert dict((r["id"], r["component"]) for r in components(links).collect()) == {i: 1 for i in range(1, 21)} | {i: 30 for i in (30, 40, 50, 60)}
+
+
+def test_copies_under_an_id_with_other_texts_are_linked(spark):
+    from gnomon.llm.jaccard_join import jaccard_groups
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b + " tail"), (11, "something else")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_groups(docs).collect()) == [(1, 1), (5, 1), (5, 1), (9, 1), (11, 11)]

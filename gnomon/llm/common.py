@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         top = f"file://{tempfile.mkdtemp(prefix='gnomon-')}"
@@ -47,6 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/gnomon-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """The rows as a Parquet table in a shared folder: lineage ends here, and a lost executor loses nothing."""
     df.write.mode("overwrite").parquet(path)
@@ -130,11 +140,11 @@ def words(texts: list[bytes], families: int = 2) -> tuple[np.ndarray, np.ndarray
     return of_doc, lens, hashes
 
 
-def spans(texts: list[bytes], joined: np.ndarray, families: int = 2, spaces_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """As words(), with where each word starts in the joined texts; spaces_only: cut nowhere else."""
+def spans(texts: list[bytes], joined: np.ndarray, families: int = 2, lines: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """As words(), with where each word starts in the joined texts; lines: cut at spaces and line ends only."""
     begins = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(x) + 1 for x in texts], out=begins[1:])
-    black = joined != 32 if spaces_only else (joined != 32) & ((joined < 9) | (joined > 13))
+    black = (joined != 32) & (joined != 10) if lines else (joined != 32) & ((joined < 9) | (joined > 13))
     edge = np.diff(black.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     lens = ends - starts
@@ -143,8 +153,15 @@ def spans(texts: list[bytes], joined: np.ndarray, families: int = 2, spaces_only
         return of_doc, starts, lens, [np.empty(0, np.uint64) for _ in range(families)]
     b = joined[black]
     at = np.cumsum(lens) - lens
-    place = (np.arange(len(b)) - np.repeat(at, lens)) & 4095
-    return of_doc, starts, lens, [mix(np.add.reduceat(_BYTE[f][b] * _PLACE[f][place], at) + lens.astype(np.uint64)) for f in range(families)]
+    place = np.arange(len(b)) - np.repeat(at, lens)
+    far = np.flatnonzero(place >= len(_PLACE[0])) if lens.max() > len(_PLACE[0]) else at[:0]
+    out = []
+    for f in range(families):
+        factor = _PLACE[f][place & (len(_PLACE[0]) - 1)]
+        if len(far):  # places beyond the table have a factor of their own too
+            factor[far] = mix(place[far].astype(np.uint64) * _PLACE[f][1]) | np.uint64(1)
+        out.append(mix(np.add.reduceat(_BYTE[f][b] * factor, at) + lens.astype(np.uint64)))
+    return of_doc, starts, lens, out
 
 
 def windows(hashes: np.ndarray, of_doc: np.ndarray, n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

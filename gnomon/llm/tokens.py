@@ -23,6 +23,7 @@ _CLIP = regex.compile(_CLIP_PATTERN)
 _OTHER = regex.compile("[^\\x00-\\x1b\\x20-ɏ‐-‧‰-⁞€]")
 #: Bytes of characters beyond U+027F and of U+001C to U+001F.
 _PLAIN = bytes(b for b in range(256) if b < 0xCA and not 0x1C <= b <= 0x1F)
+_BLANKS = (b"\t", b"\x0b", b"\x0c", b"\r")
 _GAPS = re.compile(rb"^\s|\s\s|\s\Z")
 _UNIT = regex.compile(r"\s*\S+|\s+")
 
@@ -35,6 +36,11 @@ def _byte_chars() -> list[str]:
 
 
 _CHARS = dict(enumerate(_byte_chars()))
+_SPACE = _CHARS[32]
+#: What tells runs behind a space, behind nothing and behind a line end apart.
+_LEAD = np.array([0, 0xA5A5A5A5C3C3C3C3, 0x5A5A1B2C3D4E5F61], np.uint64)
+#: ASCII marks but the apostrophe: a run of them behind a word is one piece.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
 
 class Encoder:
@@ -44,7 +50,7 @@ class Encoder:
     place of an earlier one, and at most `most` pieces.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 21, most: int = 250_000):
+    def __init__(self, path: str, slots: int = 1 << 21, most: int = 50_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,6 +60,7 @@ class Encoder:
         self.special = [x["content"].encode() for x in spec["added_tokens"]]
         self.kind, self.most, self.slots = self._kind(spec), most, slots
         self.pieces: dict[str, list[int]] = {}
+        self._newline = [t.id for t in self.tokenizer.model.tokenize(_CHARS[10])] if self.kind == "space" else []
         self.clear()
 
     @staticmethod
@@ -72,15 +79,36 @@ class Encoder:
         self.begin, self.size = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
         self.flat, self.used = np.empty(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
+    def _mapped(self, mapped: str) -> list[int]:
+        """Ids of a piece in the model's alphabet."""
+        ids = self.pieces.get(mapped)
         if ids is None:
             if len(self.pieces) >= self.most:
                 self.pieces.clear()
-            mapped = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_CHARS)
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            ids = self.pieces[mapped] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
         return ids
 
+    def _piece(self, piece: str) -> list[int]:
+        return self._mapped(piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_CHARS))
+
+    def _new(self, words: list[bytes], first: list[int]) -> list[list[int]]:
+        """Ids of runs that the table does not hold, behind a space (0), nothing (1) or a line end (2). Most are letters, with marks behind them or without."""
+        lower, mapped, out = self.kind == "lower", self._mapped, []
+        for w, f in zip(words, first, strict=True):
+            head = w.rstrip(_MARKS)
+            mark = w[len(head) :].decode()
+            if head.isalpha():
+                s = (head.lower() if lower else head).decode()
+            elif (s := head.decode().lower() if lower else head.decode()).isalpha():
+                s = (s.encode() if lower else head).decode("latin-1").translate(_CHARS)
+            else:
+                out.append(self._newline * (f == 2) + self._run(" " * (f == 0 and not lower) + w.decode()))
+                continue
+            ids = mapped(s if f or lower else _SPACE + s)
+            ids = ids + mapped(mark) if mark else ids
+            out.append(self._newline + ids if f == 2 else ids)
+        return out
+
     def _run(self, run: str) -> list[int]:
         if self.kind == "lower":
             run = run.lower()
@@ -100,7 +128,10 @@ class Encoder:
         """Whether the table can serve: no character beyond U+027F, no white space or control that needs care, no special token."""
         if self.kind == "other" or text.translate(None, _PLAIN) or b"\xc2\x85" in text or b"\xc2\xa0" in text or any(x in text for x in self.special):
             return False
-        return self.kind == "lower" or not (b"  " in text or text[0] <= 32 or text[-1] <= 32 or (len(text.split()) != text.count(b" ") + 1 and _GAPS.search(text)))
+        if self.kind == "lower":
+            return True
+        single = len(text.split()) == text.count(b" ") + text.count(b"\n") + 1 and not any(x in text for x in _BLANKS)
+        return text[0] > 32 and text[-1] > 32 and (single or not _GAPS.search(text))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
@@ -123,11 +154,13 @@ class Encoder:
 
     def _table(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raw = b" ".join(texts) + b" "
-        of_doc, starts, lens, (low, high) = spans(texts, np.frombuffer(raw, np.uint8), 2, self.kind == "space")
-        first = np.zeros(len(starts), bool)
+        joined = np.frombuffer(raw, np.uint8)
+        of_doc, starts, lens, (low, high) = spans(texts, joined, 2, self.kind == "space")
+        first = np.zeros(len(starts), np.int8)
         if self.kind == "space":
-            first[of_doc[:-1]] = True
-            low = np.where(first, ~low, low)
+            first[joined[starts - 1] == 10] = 2
+            first[of_doc[:-1]] = 1
+            low = low ^ _LEAD[first]
         if self.used > 1 << 24:
             self.clear()
         slot = (low & np.uint64(self.slots - 1)).view(np.int64)
@@ -136,7 +169,7 @@ class Encoder:
         if len(miss):
             _, one, back = np.unique(low[miss] ^ mix(high[miss]), return_index=True, return_inverse=True)
             at = miss[one]
-            runs = [self._run(("" if self.kind == "lower" or f else " ") + raw[s : s + n].decode()) for s, n, f in zip(starts[at].tolist(), lens[at].tolist(), first[at].tolist(), strict=True)]
+            runs = self._new([raw[s : s + n] for s, n in zip(starts[at].tolist(), lens[at].tolist(), strict=True)], first[at].tolist())
             long = np.fromiter(map(len, runs), np.int64, len(runs))
             total = int(long.sum())
             while self.used + total > len(self.flat):

@@ -27,6 +27,18 @@ def test_cached_ids_are_the_library_s():
         assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_words_that_swap_far_bytes():
+    """Words of one length whose bytes change places 4,096 or more apart are different words."""
+    for middle in (4095, 8191, 5000):
+        a, b = "q" + "x" * middle + "z", "z" + "x" * middle + "q"
+        for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+            ids, many = encoder(name).encode([f"a {a} b".encode(), f"a {b} b".encode()])
+            plain = Tokenizer.from_file(public_tokenizers.path(name))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [plain.encode(f"a {w} b", add_special_tokens=False).ids for w in (a, b)]
+        _, _, hashes = C.words([a.encode(), b.encode()])
+        assert all(h[0] != h[1] for h in hashes)
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(2)
     for values in ([0], [7] * 50, rng.integers(0, 50_000, 4096), rng.integers(0, 1 << 32, 100), [1] * 99 + [(1 << 32) - 1]):

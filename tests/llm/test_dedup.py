@@ -162,3 +162,25 @@ def test_copies_under_an_id_with_other_texts_are_linked(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b + " tail"), (11, "something else")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_groups(docs).collect()) == [(1, 1), (5, 1), (5, 1), (9, 1), (11, 11)]
+
+
+def test_long_words_that_swap_far_bytes(spark):
+    a, b = "q" + "x" * 4095 + "z", "z" + "x" * 4095 + "q"
+    tail = " ".join(f"t{i}" for i in range(6))
+    docs = spark.createDataFrame([(1, f"{tail} {a} {tail}"), (2, f"{tail} {b} {tail}"), (3, f"{a} only"), (4, f"{b} only")], "doc_id long, text string")
+    assert [r["n_removed"] for r in remove_repeated_windows(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    assert all(r["doc_id"] == r["component_id"] for r in J.jaccard_groups(docs).collect())
+
+
+def test_long_texts(spark, odd_docs):
+    """The very long rows alone, against a set of their strings."""
+    rows = sorted((i, t) for i, t in listed(odd_docs.where("length(text) > 2000")))
+    got_rows = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in S.remove_repeated_bytes(odd_docs.where("length(text) > 2000")).collect())
+    first, want = {}, []
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for j in range(len(t) - 99):
+            if first.setdefault(hash(t[j : j + 100]), (i, j)) < (i, j):
+                gone[j : j + 100] = b"\1" * 100
+        want.append((i, len(t), sum(gone)))
+    assert got_rows == want

@@ -13,7 +13,7 @@ from gnomon.llm import common as C
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gnomon.llm.toxicity import score_documents, train
 
-    docs, held = C.table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs, held = C.table(spark, sf_dir, "documents"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = train(docs, C.table(spark, sf_dir, "labels"), allowed=~held)
     scored = score_documents(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -6,15 +6,18 @@ the log odds of its own bucket with the means of both over the buckets of its ch
 layers read a window from both ends, an attention layer weighs their states, and a logistic unit scores the sum. A
 document's score is that of its worst window, passed through a logistic scale that is fitted to the labels.
 
-Fitting uses a bounded sample: of each label at most `most` rows, those with the least hash of their id, and only texts
-of at most LONGEST characters; the number of steps is fixed. Scoring runs on all documents in the executors.
+Fitting uses a bounded sample: of each label at most `most` rows, those with the least hash of their id, with their
+whole texts; the number of steps is fixed. It runs in one executor task, which returns the parameters alone, and is
+repeated alike when that executor is lost. Scoring runs on all documents in the executors.
 
 Defined cases: a null or empty text has one window of padding and gets the network's score for it. Rows without a label,
-with a null label, or without a text are not used in fitting. Without rows of both labels the score is 0 for all.
+with a null label, or without a text are not used in fitting. Without rows of both labels the score is 0 for all. A
+column of docs that is named like the score is replaced by it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from gnomon.llm import common as C
 
 WINDOW, STRIDE = 32, 16
-MOST, LONGEST, STEPS, BATCH = 1500, 20_000, 500, 64
+MOST, STEPS, BATCH = 1500, 500, 64
 WORDS, CHARS, E, H = 1 << 14, 1 << 12, 6, 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _D = 2 * (E + 1)
@@ -46,16 +49,28 @@ class Inputs:
         at = np.arange(int(n.sum())) + np.repeat(s - (np.cumsum(n) - n), n)
         b = np.concatenate([[32], raw, [32]]).astype(np.uint64)
         self.grams = (C.mix(b[at] * np.uint64(65536) + b[at + 1] * np.uint64(256) + b[at + 2]) >> np.uint64(64 - 12)).astype(np.int64)
-        # Windows; the index one beyond the words is padding.
+        # Of each window the text, the first word, and how many words follow; what lies beyond them is padding.
         count = np.diff(of_doc)
         wins = np.maximum(1, -(-(count - STRIDE) // STRIDE))
-        self.doc = np.repeat(np.arange(len(texts)), wins)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), wins)
         first = (np.arange(len(self.doc)) - np.repeat(np.cumsum(wins) - wins, wins)) * STRIDE
-        place = first[:, None] + np.arange(WINDOW)
-        there = place < count[self.doc][:, None]
-        back = np.append(back, len(one)) if len(one) else np.zeros(1, np.int64)
-        self.windows = np.where(there, back[np.where(there, place + of_doc[:-1][self.doc][:, None], len(back) - 1)], len(one))
-        self.mask = there
+        self.left = np.minimum(WINDOW, count[self.doc] - first)
+        self.first = first + of_doc[:-1][self.doc]
+        self.of_doc, self.back = of_doc, np.append(back, len(one)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def windows(self, pick: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words by window and step, with the index one beyond all for padding, and where there are words."""
+        step = np.arange(WINDOW)
+        mask = step < self.left[pick][:, None]
+        return self.back[np.where(mask, self.first[pick][:, None] + step, len(self.back) - 1)], mask
+
+    def outputs(self, p: dict, size: int = 4096) -> np.ndarray:
+        """The network's output for every window."""
+        vectors = self.vectors(p)
+        return np.concatenate([forward(p, vectors, *self.windows(slice(a, a + size))) for a in range(0, len(self), size)])
 
     def vectors(self, p: dict) -> np.ndarray:
         """Inputs by distinct word, with zeros for padding."""
@@ -148,38 +163,48 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int =
     if not labels.any() or labels.all():
         return None
     rng, x = np.random.default_rng(seed), Inputs(texts)
-    # Log odds of buckets, by documents that hold them.
-    def odds(bucket: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-        pair = np.unique(doc * size + bucket)
-        toxic = labels[pair // size]
-        yes, no = (np.bincount(pair[s] % size, minlength=size) for s in (toxic, ~toxic))
-        return (np.log((yes + 0.5) / (labels.sum() + 1)) - np.log((no + 0.5) / ((~labels).sum() + 1))).clip(-4, 4) / 2
-
-    used = x.windows[x.mask]
-    doc = np.repeat(x.doc, WINDOW).reshape(x.windows.shape)[x.mask]
     at = np.cumsum(x.many) - x.many
-    gram_doc = np.repeat(doc, x.many[used])
-    gram = x.grams[np.arange(len(gram_doc)) + np.repeat(at[used] - (np.cumsum(x.many[used]) - x.many[used]), x.many[used])]
-    p = start(rng, odds(x.word[used], doc, WORDS), odds(gram, gram_doc, CHARS))
+
+    def holders() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct words and their texts, some texts at a time."""
+        for a in range(0, len(texts), 64):
+            cut = x.of_doc[a : a + 65]
+            pair = np.unique(np.repeat(np.arange(len(cut) - 1), np.diff(cut)) * len(x.back) + x.back[cut[0] : cut[-1]])
+            yield pair % len(x.back), a + pair // len(x.back)
+
+    # Log odds of buckets, by documents that hold them.
+    words, chars = np.zeros((2, WORDS)), np.zeros((2, CHARS))
+    for word, doc in holders():
+        many = x.many[word]
+        gram = x.grams[np.arange(int(many.sum())) + np.repeat(at[word] - (np.cumsum(many) - many), many)]
+        for table, bucket, of in ((words, x.word[word], doc), (chars, gram, np.repeat(doc, many))):
+            pair = np.unique(of * table.shape[1] + bucket)
+            np.add.at(table, (labels[pair // table.shape[1]].astype(int), pair % table.shape[1]), 1)
+    n = np.array([(~labels).sum(), labels.sum()])[:, None]
+    odds = lambda t: (np.diff(np.log((t + 0.5) / (n + 1)), axis=0)[0]).clip(-4, 4) / 2
+    p = start(rng, odds(words), odds(chars))
     layers = [k for k in p if k not in ("words", "chars")]
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     # A document stands for its worst window, at first by its words' odds, later by the network; clean ones for random ones too.
     vectors = x.vectors(p)
-    worst = np.where(x.mask, vectors[x.windows, E], 0).max(axis=1)
+    worst = np.empty(len(x), np.float32)
+    for a in range(0, len(x), 4096):
+        ids, mask = x.windows(slice(a, a + 4096))
+        worst[a : a + 4096] = np.where(mask, vectors[ids, E], 0).max(axis=1)
     begins = np.flatnonzero(np.diff(x.doc, prepend=-1))
     sizes = np.diff(np.append(begins, len(x.doc)))
     toxic, clean = np.flatnonzero(labels), np.flatnonzero(~labels)
     for step in range(steps):
         if step % 125 == 0:
             if step:
-                worst = np.concatenate([forward(p, x.vectors(p), x.windows[a : a + 4096], x.mask[a : a + 4096]) for a in range(0, len(x.doc), 4096)])
+                worst = x.outputs(p)
             top = np.lexsort((-worst, x.doc))[begins]
         docs = np.concatenate([rng.choice(toxic, BATCH // 2), rng.choice(clean, BATCH // 2)])
         pick = top[docs]
         other = rng.random(BATCH) < 0.5
         other[: BATCH // 2] = False
         pick = np.where(other, begins[docs] + (rng.random(BATCH) * sizes[docs]).astype(np.int64), pick)
-        windows, mask = x.windows[pick], x.mask[pick]
+        windows, mask = x.windows(pick)
         ids = np.unique(windows[mask]) if mask.any() else np.empty(0, np.int64)
         vectors = x.vectors(p) if step % 125 == 0 else vectors
         at_id = x.many[ids].cumsum() - x.many[ids]
@@ -201,7 +226,7 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int =
             second[key] = 0.99 * second[key] + 0.01 * g[key] * g[key]
             p[key] = p[key] - np.float32(rate) * (first[key] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[key] / (1 - 0.99 ** (step + 1))) + 1e-6)
             p[key] = p[key].astype(np.float32)
-    worst = np.maximum.reduceat(np.concatenate([forward(p, x.vectors(p), x.windows[a : a + 4096], x.mask[a : a + 4096]) for a in range(0, len(x.doc), 4096)]), begins)
+    worst = np.maximum.reduceat(x.outputs(p), begins)
     # Worst windows become probabilities by a logistic fit, with both labels of equal weight.
     scale, shift = 1.0, 0.0
     weight = np.where(labels, 0.5 / labels.sum(), 0.5 / (~labels).sum())
@@ -219,9 +244,7 @@ def score(p: dict, texts: list[bytes]) -> np.ndarray:
     out = []
     for a, b in C.chunks(texts):
         x = Inputs(texts[a:b])
-        vectors = x.vectors(p)
-        s = np.concatenate([forward(p, vectors, x.windows[i : i + 2048], x.mask[i : i + 2048]) for i in range(0, len(x.doc), 2048)])
-        worst = np.maximum.reduceat(s, np.flatnonzero(np.diff(x.doc, prepend=-1)))
+        worst = np.maximum.reduceat(x.outputs(p, 2048), np.flatnonzero(np.diff(x.doc, prepend=-1)))
         out.append(_sigmoid(p["scale"] * worst.astype(np.float64) + p["shift"]))
     return np.concatenate(out) if out else np.empty(0)
 
@@ -232,25 +255,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", ident: str =
     key = F.xxhash64("id")
     chosen = known.where("label = 1").orderBy(key, "id").limit(most).unionByName(known.where("label = 0").orderBy(key, "id").limit(most))
     # At most 2 * most rows: small enough for any executor.
-    texts = docs.where((F.length(text) <= LONGEST) & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = sorted((r["id"], r["label"], r["text"]) for r in texts.join(F.broadcast(chosen), "id").collect())
-    return fit([r[2].encode() for r in rows], np.array([r[1] for r in rows], bool)) if rows else None
+    texts = docs.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").withColumn("task", F.lit(0))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = sorted(zip(rows.column("id").to_pylist(), rows.column("label").to_pylist(), rows.column("text").to_pylist(), strict=True))
+        model = fit([r[2].encode() for r in rows], np.array([r[1] for r in rows], bool))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
+    found = sample.groupBy("task").applyInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
-def score_documents(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """All columns of docs with `score`, from 0 to 1."""
+
+def score_documents(docs: DataFrame, model: dict | None, text: str = "text", into: str = "score") -> DataFrame:
+    """All columns of docs with the score, from 0 to 1."""
+    docs = docs.select([c for c in docs.columns if c.lower() != into.lower()])
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(into, F.lit(0.0))
     at = docs.columns.index(text)
     names = [f"c{i}" for i in range(len(docs.columns))]
     wide = docs.toDF(*names)
 
+    model = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b"" if x is None else x.encode() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(model, texts), pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(model.value, texts), pa.float64())], names=[*names, "score_"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*wide.schema.fields, T.StructField("score", T.DoubleType())])
-    return wide.mapInArrow(run, schema).toDF(*docs.columns, "score")
+    schema = T.StructType([*wide.schema.fields, T.StructField("score_", T.DoubleType())])
+    return wide.mapInArrow(run, schema).toDF(*docs.columns, into)

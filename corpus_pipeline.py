@@ -6,7 +6,9 @@ cut in two is dropped whole, and n_chars follows the text. decontamination: docu
 packing: what is left becomes sequences of 4096 ids; one row for each piece.
 
 Defined cases: every row is a document of its own, whatever other rows share its id or have none; a null id is smaller
-than all. Texts without words are linked with nothing and all stay in ngram_jaccard.
+than all. Rows that are equal in all columns are one. Texts without words are linked with nothing and all stay in
+ngram_jaccard; a null text is empty, and after suffix_dedup it is an empty one. Columns besides those of documents stay as they
+are, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,21 +34,26 @@ def _digest(text: str) -> Column:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = train(docs, C.table(spark, sf_dir, "labels"), allowed=~held)
-    return score_documents(docs, model).where(F.col("score") < THRESHOLD).drop("score")
+    score = C.free_name(docs, "score")
+    return score_documents(docs, model, into=score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    row = C.free_name(docs, "row")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(worded).withColumn("_row", F.xxhash64(*docs.columns))
-    groups = jaccard_groups(rows, ident="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    named = rows.select("_row", F.struct(F.coalesce("doc_id", F.lit(C.NULL_ID)), _digest("text"), "_row").alias("place")).join(groups, "_row")
-    stays = named.groupBy("component_id").agg(F.min("place").alias("least")).select(F.col("least._row").alias("_row"))
-    return rows.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns).unionByName(docs.where(~worded))
+    rows = docs.where(worded).withColumn(row, F.xxhash64(*docs.columns))
+    groups = jaccard_groups(rows, ident=row).select(F.col("doc_id").alias(row), "component_id").distinct()
+    named = rows.select(row, F.struct(F.coalesce("doc_id", F.lit(C.NULL_ID)), _digest("text"), row).alias("least")).join(groups, row)
+    stays = named.groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least")[row].alias(row))
+    return rows.join(stays, row, "left_semi").dropDuplicates([row]).select(docs.columns).unionByName(docs.where(~worded))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = remove_repeated_bytes(docs).select(F.col("doc_id").alias("id"), "digest", "kept_text").dropDuplicates(["id", "digest"])
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]) & (_digest("text") == cut["digest"])).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
+    ident, digest, text, old = (C.free_name(docs, n) for n in ("cut_id", "cut_digest", "cut_text", "old_digest"))
+    cut = remove_repeated_bytes(docs).select(F.col("doc_id").alias(ident), F.col("digest").alias(digest), F.col("kept_text").alias(text)).dropDuplicates([ident, digest])
+    # The other columns meet the new texts without the old ones.
+    rest = docs.withColumn(old, _digest("text")).drop("text", "n_chars")
+    joined = rest.join(cut, rest["doc_id"].eqNullSafe(cut[ident]) & (rest[old] == cut[digest])).withColumns({"text": F.col(text), "n_chars": F.length(text).cast("long")})
     return joined.select(docs.columns)
 
 

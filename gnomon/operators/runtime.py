@@ -52,13 +52,6 @@ def unhealthy_workers(log: DataFrame, as_of: Column, threshold: float) -> DataFr
     return last.where(_seconds(as_of, F.col("last")) >= threshold).select("worker", "last")
 
 
-def priority_aging(tasks: DataFrame, as_of: Column, interval: float = 60.0, step: int = 1) -> DataFrame:
-    """Ranks waiting tasks (task, priority, created) by aged priority, then age, then id."""
-    waited = F.floor(_seconds(as_of, F.col("created")) / interval)
-    rows = tasks.withColumn("aged", (F.col("priority") + waited * step).cast("long"))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("aged"), "created", "task")).cast("long"))
-
-
 def checkpoint_latest(log: DataFrame) -> DataFrame:
     """run, version, payload: the highest version, counting each run's rows in order of seq."""
     return log.groupBy("run").agg(F.count("*").alias("version"), F.max_by("payload", "seq").alias("payload"))
@@ -74,3 +67,12 @@ def policy_decisions(requests: DataFrame, grants: DataFrame, approval: list[str]
     held = grants.select("actor", "capability").distinct().withColumn("granted", F.lit(True))
     ask = F.col("destructive") | F.col("capability").isin(*approval)
     return requests.join(held, ["actor", "capability"], "left").withColumn("decision", F.when(F.col("granted").isNull(), "DENY").when(ask, "REQUIRE_APPROVAL").otherwise("ALLOW")).drop("granted")
+
+
+def counters(increments: DataFrame, won: str, tried: str) -> DataFrame:
+    """name, value: sums of increments (name, amount, none below 0), and `success_rate`, the quotient of two of them, 0 of none."""
+    amount = F.when(F.col("amount") < 0, F.raise_error(F.lit("increments cannot be negative"))).otherwise(F.col("amount"))
+    rows = increments.groupBy("name").agg(F.sum(amount).cast("double").alias("value"))
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("value"))), F.lit(0.0))
+    rate = rows.agg(total(won).alias("w"), total(tried).alias("t")).select(F.lit("success_rate").alias("name"), F.round(F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0), 9).alias("value"))
+    return rows.unionByName(rate)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,22 +13,9 @@ from gnomon.operators import graph as G
 from gnomon.operators import knowledge as K
 from gnomon.operators import retrieval as R
 from gnomon.operators import runtime as T
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str = ""):
-    """Registers a query under its function's name, with its oracle."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+from gnomon.operators import tasks as TS
+from gnomon.plans.graph_queries import EDGES as _EDGES
+from gnomon.plans.registry import ORACLE, QUERIES, query
 
 _TOKENS = "list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda t: lower(t))"
 _BM25 = f"""
@@ -98,7 +84,8 @@ _QRELS = "qrels AS (SELECT item_id AS query_id, doc_id AS object_id FROM benchma
 
 
 def _qrels(t):
-    return t("documents").join(F.broadcast(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))), F.col("text").contains(F.col("item"))).select("query_id", F.col("doc_id").alias("object_id"))
+    found = R.containing(t("documents"), t("benchmark").withColumnRenamed("item_id", "query_id"))
+    return found.withColumnRenamed("doc_id", "object_id")
 
 
 @query(_BM25 + f""", {_QRELS}, r AS (SELECT bm.query_id, bm.doc_id, rank, CASE WHEN object_id IS NULL THEN 0 ELSE 1 END AS hit FROM bm LEFT JOIN qrels ON bm.query_id = qrels.query_id AND doc_id = object_id WHERE rank <= 5),
@@ -119,12 +106,6 @@ def rrf_fusion(t):
     return R.reciprocal_rank_fusion(ranked)
 
 
-_EDGES = """e AS (SELECT 'supplier:' || s_suppkey AS subject, 'located_in' AS predicate, 'nation:' || s_nationkey AS object, 1.0::DOUBLE AS confidence FROM supplier
-UNION ALL SELECT 'customer:' || c_custkey, 'located_in', 'nation:' || c_nationkey, 1.0 FROM customer
-UNION ALL SELECT 'nation:' || n_nationkey, 'part_of', 'region:' || n_regionkey, 1.0 FROM nation
-UNION ALL SELECT 'supplier:' || l_suppkey, 'supplies', 'part:' || l_partkey, round(1 - avg(l_discount), 6) FROM lineitem GROUP BY l_suppkey, l_partkey)"""
-
-
 @query(f"WITH {_EDGES} SELECT * FROM e")
 def graph_edges(t):
     return G.star_schema_graph(t)
@@ -147,7 +128,7 @@ def neighbors_both(t):
     return G.neighbors(G.star_schema_graph(t), t("nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id")))
 
 
-def _rank(base: str, rounds: int = 10) -> str:
+def _rank(base: str, rounds: int = 10, digits: int = 8) -> str:
     """Rounds of PageRank, one named table each."""
     steps = "".join(
         f""", l{i} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} JOIN b USING (id) WHERE dangling),
@@ -158,7 +139,7 @@ r{i} AS MATERIALIZED (SELECT id, 0.15::DOUBLE * base + 0.85::DOUBLE * (coalesce(
     return f"""WITH {_EDGES}, v AS MATERIALIZED (SELECT subject AS id FROM e UNION SELECT object FROM e), o AS (SELECT subject, sum(abs(confidence)) AS total FROM e GROUP BY 1 HAVING total > 0),
 w AS MATERIALIZED (SELECT subject, object, sum(greatest(0, confidence) / total) AS share FROM e JOIN o USING (subject) GROUP BY ALL),
 b AS MATERIALIZED (SELECT id, {base} AS base, o.subject IS NULL AS dangling FROM v LEFT JOIN o ON id = o.subject), r0 AS (SELECT id, base AS rank FROM b){steps}
-SELECT id, round(rank, 8) AS rank FROM r{rounds}"""
+SELECT id, round(rank, {digits}) AS rank FROM r{rounds}"""
 
 
 @query(_rank("1.0::DOUBLE / (SELECT count(*) FROM v)"))
@@ -166,6 +147,11 @@ def pagerank_10(t):
     return G.pagerank(G.star_schema_graph(t), 10)
 
 
+@query(_rank("1.0::DOUBLE / (SELECT count(*) FROM v)", 60, 5))
+def pagerank_converged(t):
+    return G.pagerank(G.star_schema_graph(t), 100, tolerance=1e-6).select("id", F.round("rank", 5).alias("rank"))
+
+
 @query(_rank("CASE WHEN id LIKE 'region:%' THEN 0.2::DOUBLE ELSE 0.0 END"))
 def ppr_10(t):
     return G.pagerank(G.star_schema_graph(t), 10, seeds=t("region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id")))
@@ -258,42 +244,6 @@ def investigation_random(t):
     return _gaps(t).select("claim_id", "kind", F.round(K.random_score(F.concat("claim_id", "kind"), 7), 6).alias("score"))
 
 
-_EVIDENCE = """e AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS subject, 'order_status' AS predicate, o_orderstatus AS object, o_orderpriority AS source_id, least(1, o_totalprice / 300000) AS confidence,
-CAST(substr(o_orderpriority, 1, 1) AS BIGINT) / 5.0::DOUBLE AS quality FROM orders)"""
-
-
-def _evidence(t):
-    return t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("subject"), F.lit("order_status").alias("predicate"), F.col("o_orderstatus").alias("object"), F.col("o_orderpriority").alias("source_id"), F.least(F.lit(1.0), F.col("o_totalprice") / 300000.0).alias("confidence"), (F.substring("o_orderpriority", 1, 1).cast("long") / 5.0).alias("quality"))
-
-
-@query(f"WITH {_EVIDENCE} SELECT o_orderkey, CASE WHEN o_orderkey > min(o_orderkey) OVER p THEN min(o_orderkey) OVER p END AS duplicate_of FROM e WINDOW p AS (PARTITION BY subject, object, source_id)")
-def evidence_dedup(t):
-    return K.dedupe_evidence(_evidence(t), ["subject", "object", "source_id"], "o_orderkey").select("o_orderkey", "duplicate_of")
-
-
-@query(f"WITH {_EVIDENCE} SELECT o_orderkey, round(sqrt(confidence * quality), 9) AS strength, CASE WHEN sqrt(confidence * quality) >= 0.7 THEN 'strong' WHEN sqrt(confidence * quality) >= 0.4 THEN 'moderate' ELSE 'weak' END AS grade FROM e")
-def evidence_grades(t):
-    s = X.strength(F.col("confidence"), F.col("quality"))
-    return _evidence(t).select("o_orderkey", F.round(s, 9).alias("strength"), X.grade(s).alias("grade"))
-
-
-_EVALUATED = f"""WITH {_EVIDENCE}, g AS (SELECT *, confidence >= 0.5 AND quality >= 0.5 AS good FROM e),
-o AS (SELECT subject, predicate, object, count(*) FILTER (good) AS accepted, count(*) FILTER (NOT good) AS low_quality, coalesce(sum(confidence * quality) FILTER (good), 0) AS support, count(DISTINCT source_id) FILTER (good) AS sources, avg(quality) FILTER (good) AS mean_quality FROM g GROUP BY ALL),
-a AS (SELECT *, sum(support) OVER p - support AS against, CAST(sum(accepted) OVER p - accepted AS BIGINT) AS opposing FROM o WINDOW p AS (PARTITION BY subject, predicate)),
-v AS (SELECT *, round(CASE WHEN accepted > 0 THEN least(1, greatest(0, support / accepted * support / (support + against))) ELSE 0 END, 9) AS aggregate FROM a)"""
-
-
-@query(_EVALUATED + " SELECT subject, object, accepted, low_quality, sources, opposing, aggregate FROM v")
-def claim_evaluation(t):
-    return K.evaluate_claims(_evidence(t)).select("subject", "object", "accepted", "low_quality", "sources", "opposing", "aggregate")
-
-
-@query(_EVALUATED + """ SELECT subject, object, CASE WHEN opposing > 0 AND accepted > 0 THEN 'contradicted' WHEN accepted = 0 OR sources < 2 THEN 'insufficient' WHEN mean_quality < 0.5 THEN 'uncertain'
-WHEN aggregate >= 0.7 THEN 'confirmed' WHEN aggregate >= 0.5 THEN 'probable' ELSE 'uncertain' END AS decision FROM v""")
-def claim_verification(t):
-    return K.verify(K.evaluate_claims(_evidence(t))).select("subject", "object", "decision")
-
-
 _PREDICTED = "p AS (SELECT least(0.999::DOUBLE, n_chars / 4000.0::DOUBLE) AS p, quality AS label FROM labels JOIN documents USING (doc_id))"
 
 
@@ -347,10 +297,11 @@ def retry_schedule(t):
 
 
 @query("""WITH q AS (SELECT o_orderkey AS task, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) * 10 AS priority, o_orderdate AS created FROM orders WHERE o_orderstatus = 'O'),
-a AS (SELECT task, priority + CAST(floor((epoch(TIMESTAMP '2000-01-01') - epoch(created)) / (86400 * 30)) AS BIGINT) AS aged, created FROM q) SELECT task, aged, row_number() OVER (ORDER BY aged DESC, created, task) AS rank FROM a""")
+a AS (SELECT task, priority + CAST(floor(greatest(0, epoch(TIMESTAMP '2000-01-01') - epoch(created)) / (86400 * 30)) AS BIGINT) AS aged, created FROM q) SELECT task, aged, row_number() OVER (ORDER BY aged DESC, created, task) AS rank FROM a""")
 def priority_aging_rank(t):
-    rows = t("orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("task"), (F.substring("o_orderpriority", 1, 1).cast("long") * 10).alias("priority"), F.col("o_orderdate").alias("created"))
-    return T.priority_aging(rows, F.lit("2000-01-01").cast("timestamp"), 86400 * 30).select("task", "aged", "rank")
+    rows = t("orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("task_id"), (F.substring("o_orderpriority", 1, 1).cast("long") * 10).alias("priority"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created"))
+    now = F.unix_timestamp(F.lit("2000-01-01").cast("timestamp")).cast("double")
+    return TS.rank(rows, now, interval=86400 * 30).select(F.col("task_id").alias("task"), F.col("effective").alias("aged"), "rank")
 
 
 @query("SELECT user_id AS run, count(*) AS version, arg_max(props, event_id) AS payload FROM events GROUP BY 1")
@@ -368,11 +319,6 @@ def event_topics(t):
     return t("events").select(X.topic(F.concat(F.lit("user."), "event_type")).alias("topic"), "event_type").groupBy("topic", "event_type").agg(F.count("*").alias("events"))
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
-def event_dedup(t):
-    return t("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_flat(t):
     return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -447,12 +393,6 @@ def gap_disconnected_all(t):
     return G.disconnected(reduce(DataFrame.unionByName, ids), G.star_schema_graph(t))
 
 
-@query(f"""WITH {_EVIDENCE}, o AS (SELECT subject, predicate, object, count(*) AS n FROM e GROUP BY ALL)
-SELECT x.subject, x.predicate, x.object AS a, y.object AS b, x.n + y.n AS evidence FROM o x JOIN o y ON x.subject = y.subject AND x.predicate = y.predicate AND x.object < y.object""")
-def evidence_conflicts(t):
-    return K.evidence_conflicts(_evidence(t))
-
-
 @query("""WITH g AS (SELECT DISTINCT user_id, event_type FROM events WHERE value >= 50)
 SELECT event_id, CASE WHEN g.user_id IS NULL THEN 'DENY' WHEN e.event_type IN ('error', 'purchase') THEN 'REQUIRE_APPROVAL' ELSE 'ALLOW' END AS decision FROM events e LEFT JOIN g ON e.user_id = g.user_id AND e.event_type = g.event_type""")
 def policy_decision(t):
@@ -466,3 +406,8 @@ o AS (SELECT doc_id, i AS index, greatest(0, coalesce(lag(start + n) OVER (PARTI
 SELECT doc_id, index, o.start, o.end, substring(text, CAST(o.start + 1 AS BIGINT), CAST(o.end - o.start AS BIGINT)) AS chunk FROM o JOIN documents USING (doc_id)""")
 def chunk_overlap(t):
     return R.chunk_overlap(R.chunk_lines(t("documents")), t("documents"), 20)
+
+
+from gnomon.plans import evidence_queries, graph_queries, ingestion_queries, planning_queries, runtime_queries, store_queries  # noqa: E402, F401
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -6,9 +6,9 @@ containment 0 and are not made. The shingles of a window are hashed BANDS times;
 A window is at most four times as long as the template, so one that contains the share c of it has at least the Jaccard
 similarity s = c / (5 - c) with it, and agrees in at least one band with probability 1 - (1 - s) ** BANDS: above 0.9999
 at c = 0.8. Templates so retrieved are verified by exact containment of their shingles. Templates that share most of
-their words are all reported, each with its own containment.
+their words are all reported, each with its own containment; `best` marks those that fit a window best.
 
-All of it runs in DataFrame functions. Templates are a fixed, bounded set.
+All of it runs in DataFrame functions. Any number of templates may be given (see native.found_places).
 
 Defined cases: null or empty texts and templates match nothing; a template of fewer than five words is one shingle of all
 its words. Repeated rows and ids give their rows once; a null id is kept.
@@ -48,12 +48,13 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: DataFrame, n: int = N, percent: int = PERCENT, bands: int = BANDS, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, template_id, license, containment, windows (how many windows hold the template)."""
+    """doc_id, template_id, license, containment, windows (how many windows hold the template), best (whether in one of them no
+    other template is contained to a greater part)."""
     templates = templates.where(F.col("template_id").isNotNull())
     folder = C.shared_dir(docs.sparkSession)
     shingles = C.written(V.pattern_shingles(templates, "template_id", "text", n), f"{folder}/shingles")
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = V.found_places(docs, "doc_id", "text", shingles)
+    rows = V.found_places(docs, ["doc_id"], "text", shingles)
     # The size class of the template and the two windows that the place lies in.
     stride = F.pow(F.lit(2), F.ceil(F.log2(F.col("many") - F.col("size") + 1))).cast("int")
     rows = rows.withColumn("stride", stride).withColumn("number", F.floor((F.col("at") - 1) / F.col("stride")).cast("int"))
@@ -73,5 +74,7 @@ def scan(docs: DataFrame, templates: DataFrame, n: int = N, percent: int = PERCE
     whole = theirs.groupBy("template_id").agg(F.count("*").alias("total"))
     both = got.join(ours, ["key", "size", "stride"]).join(F.broadcast(theirs), ["template_id", "size", "stride", "sh"]).groupBy("key", "size", "stride", "template_id").agg(F.count("*").alias("both"))
     true = both.join(F.broadcast(whole), "template_id").where(100 * F.col("both") >= percent * F.col("total")).select("key", "size", "stride", "template_id", (F.col("both") / F.col("total")).alias("containment"))
+    top = true.groupBy("key", "size", "stride").agg(F.max("containment").alias("top"))
+    true = true.join(top, ["key", "size", "stride"]).withColumn("best", F.col("containment") == F.col("top")).drop("top")
     named = true.join(F.broadcast(templates.select("template_id", "license")), "template_id")
-    return owners.select("doc_id", "key", "size", "stride", "number").join(named, ["key", "size", "stride"]).groupBy("doc_id", "template_id", "license").agg(F.round(F.max("containment"), 6).alias("containment"), F.count("*").alias("windows"))
+    return owners.select("doc_id", "key", "size", "stride", "number").join(named, ["key", "size", "stride"]).groupBy("doc_id", "template_id", "license").agg(F.round(F.max("containment"), 6).alias("containment"), F.count("*").alias("windows"), F.max("best").alias("best"))

@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places of the bit field (a byte each), and shingles of patterns that it and a broadcast may hold.
-FIELD, BOUND = 1 << 18, 1 << 18
+#: Places of the bit field (a byte each), and shingles of patterns that one field and one broadcast may hold.
+FIELD, BOUND = 1 << 18, 1 << 16
 
 
 def word_list(text: Column) -> Column:
@@ -50,22 +50,34 @@ def _admitted(field: np.ndarray, size: int) -> Column:
     return F.filter(places(F.col("h"), size), lambda i: F.substring(bits, (F.pmod(shingle(F.col("h"), i, size), F.lit(FIELD)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
 
 
-def found_places(docs: DataFrame, ident: str, text: str, shingles: DataFrame) -> DataFrame:
-    """ident, words, at (1-based place in the text), and the pattern's columns: one row for each shingle of a pattern in a text.
+def found_places(docs: DataFrame, keep: list[str], text: str, shingles: DataFrame, bound: int = BOUND) -> DataFrame:
+    """keep, words, at (1-based place in the text), and the pattern's columns: one row for each shingle of a pattern in a text.
 
-    shingles (from pattern_shingles) must hold at most BOUND rows; they are read to make the bit fields, one for each
-    size of a shingle, and texts are read once for all sizes.
+    shingles (from pattern_shingles, written) are dealt into parts of at most `bound` rows by their hash, with ever finer
+    parts until each is within it. Each part makes its own bit fields, one for each size of a shingle, and reads the texts
+    once for all sizes: any number of patterns is found, at the price of one reading for each `bound` shingles.
     """
-    known = shingles.select("sh", "size").limit(BOUND + 1).collect()
-    if len(known) > BOUND:
-        raise ValueError(f"patterns have more than {BOUND} shingles")
-    base = held(docs.select(F.col(ident), word_list(F.col(text)).alias("raw")), "words", F.col("raw")).drop("raw")
+    known = shingles.select("sh", "size").distinct()
+    parts = max(1, -(-2 * known.count() // bound)) if known.count() > bound else 1
+    base = held(docs.select(*keep, word_list(F.col(text)).alias("raw")), "words", F.col("raw")).drop("raw")
     base = held(base, "h", F.transform("words", lambda w: F.xxhash64(w)))
+    out = None
+    for part in range(parts):
+        mine = known if parts == 1 else known.where(F.pmod("sh", F.lit(parts)) == part)
+        some = mine.limit(bound + 1).collect()
+        if len(some) > bound:
+            raise ValueError(f"more than {bound} shingles in one part of {parts}")
+        here = shingles if parts == 1 else shingles.where(F.pmod("sh", F.lit(parts)) == part)
+        rows = _found(base, keep, some).join(F.broadcast(here) if parts == 1 else here, ["sh", "size"])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _found(base: DataFrame, keep: list[str], known: list) -> DataFrame:
     sizes, spots = sorted({r["size"] for r in known}) or [1], []  # without patterns, one round that finds nothing
     for size in sizes:
         field = np.zeros(FIELD, np.uint8)
         field[[r["sh"] % FIELD for r in known if r["size"] == size]] = 1
         kind = F.lit(size).alias("size")
         spots.append(F.transform(_admitted(field, size), lambda i: F.struct(i.alias("at"), kind)))  # noqa: B023
-    rows = base.select(ident, "words", "h", F.inline(F.concat(*spots))).withColumn("sh", shingle(F.col("h"), F.col("at"), max(sizes), F.col("size"))).drop("h")
-    return rows.join(F.broadcast(shingles), ["sh", "size"])
+    return base.select(*keep, "words", "h", F.inline(F.concat(*spots))).withColumn("sh", shingle(F.col("h"), F.col("at"), max(sizes), F.col("size"))).drop("h")

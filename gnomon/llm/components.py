@@ -38,4 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         last, sign = sign, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last == sign:
             break
+    else:
+        raise RuntimeError("components still change")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

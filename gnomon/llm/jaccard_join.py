@@ -7,7 +7,8 @@ n1 > k / 2, some partition has at most one, so two of its three parts agree: a s
 and the features in two of its parts. n1 is chosen somewhat larger than needed, so that sets with an agreeing partition
 without empty parts are found by signatures that are never empty. Sets with too many empty parts are told by counting;
 they are joined among themselves by other cuts of the domain, and after the last cut by their empty signatures too,
-so no link is lost.
+so no link is lost. Where similar sets differ in at most one feature, each feature is a partition of its own: a set's
+signatures are itself and itself without each feature, and none is ever empty.
 
 Signatures that only one set has are dropped first: blocks tell shards which they hold, and learn which stand more than
 once. Sets that share a signature are then compared by parity sketches: each feature flips one of b bits, so
@@ -37,7 +38,7 @@ from gnomon.llm import common as C
 from gnomon.llm.components import components
 
 N, PERCENT = 5, 80
-SPARE, CUTS = 1.25, 4
+SPARE, CUTS = 1.25, 12
 #: Cells of the space in which signatures are counted, for each expected signature; repeated ones are few, and meet in as much fewer shards.
 CELLS, FEWER = 512, 4
 #: Signatures in a shard on average; features in a task of exact comparison at most; sets of a signature compared at once.
@@ -103,6 +104,9 @@ def signatures(features: np.ndarray, sizes: np.ndarray, levels: Levels) -> tuple
     begin = np.cumsum(sizes) - sizes
     for step in (0, 1):
         left = np.flatnonzero(sizes)
+        near = levels.k[levels.band(sizes[left]) + step] == 1
+        out.append(_without_one(features, sizes, begin, left[near], levels.band(sizes[left[near]]) + step))
+        left = left[~near]
         for cut in range(CUTS):
             if not len(left):
                 break
@@ -141,6 +145,19 @@ def signatures(features: np.ndarray, sizes: np.ndarray, levels: Levels) -> tuple
     return sig[order], doc[order], level[order]
 
 
+def _without_one(features: np.ndarray, sizes: np.ndarray, begin: np.ndarray, some: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets of which two are similar only if they differ in one feature at most."""
+    n = sizes[some]
+    if not len(some):
+        return np.empty(0, np.uint64), some, level
+    at = np.cumsum(n) - n
+    salt = C.mix((level * CUTS).astype(np.uint64))
+    x = C.mix(features[np.arange(int(n.sum())) + np.repeat(begin[some] - at, n)] ^ np.repeat(salt, n))
+    whole = np.add.reduceat(x, at)
+    sig = np.concatenate([C.mix(whole + salt), C.mix(np.repeat(whole + salt, n) - x)])
+    return sig, np.concatenate([some, np.repeat(some, n)]), np.concatenate([level, np.repeat(level, n)])
+
+
 def sketch(features: np.ndarray, width: int) -> np.ndarray:
     """Bits that the features flip, packed; halves that are added (xor) give the sketch of half the width."""
     at = (C.mix(features + np.uint64(77)) & np.uint64(width - 1)).astype(np.int64)

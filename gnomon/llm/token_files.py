@@ -9,7 +9,8 @@ Layout, little-endian: magic "PFR1"; blocks; index: for each block u64 start; do
 before it in the file (one more at the end); then u64 blocks, u64 documents, u64 offset of the index, u32 block size.
 A block: u32 minimum, u32 values, u32 exceptions, u8 width, packed bits, u16 places, u32 values less the minimum.
 
-Files are written under a temporary name and renamed, so a task that is run again replaces its own file.
+An attempt writes a file of its own name, and the manifest, which holds only attempts that were committed, tells which files
+count; readers open those by name.
 """
 
 from __future__ import annotations
@@ -122,10 +123,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, id
         attempt = TaskContext.get().taskAttemptId()
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
-        name, made = f"part-{part:08d}.pfr", f"{top}/_writing-{part:08d}-{attempt}"
+        name = f"part-{part:08d}-{attempt}.pfr"
         enc = encoder(tokenizer)
         n = 0
-        with store.open_output_stream(made) as sink:
+        with store.open_output_stream(f"{top}/{name}") as sink:
             out = FileWriter(sink)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -133,7 +134,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, id
                     out.add(ids[a:b], *with_end(*enc.encode(texts[a:b]), end))
                 n += len(ids)
             total = out.close()
-        store.move(made, f"{top}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "docs": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -145,9 +145,13 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                f = File(raw.as_py())
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{top}/{name}") as source:
+                    f = File(source.read())
                 docs = len(f.ids)
                 step = max(1, docs * (1 << 20) // max(1, int(f.before[-1])))
                 for a in range(0, docs, step):
@@ -155,12 +159,11 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     ids = f.range(int(f.before[a]), int(f.before[b])).astype("<u4")
                     cut = (f.before[a : b + 1] - f.before[a]) * 4
                     raw_ids = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cut.astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
-                    yield pa.RecordBatch.from_pydict({"file": [name] * (b - a), "doc_id": pa.array(f.ids[a:b], pa.int64(), mask=f.null[a:b]), "local": f.before[a:b], "n_tokens": np.diff(f.before[a : b + 1]), "ids": raw_ids})
-
-    if not manifest.head(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInArrow(run, "file string, doc_id long, local long, n_tokens long, ids binary")
-    # One row for each file, however many documents it holds.
-    before = manifest.select("file", F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "file").select("doc_id", (F.col("local") + F.col("before")).alias("start"), "n_tokens", "ids")
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(f.ids[a:b], pa.int64(), mask=f.null[a:b]), "start": f.before[a:b] + before, "n_tokens": np.diff(f.before[a : b + 1]), "ids": raw_ids})
+
+    # Ids before each file: before its stretch of the files, and before it in the stretch.
+    files = manifest.withColumn("stretch", F.floor(F.col("part") / 1024))
+    totals = files.groupBy("stretch").agg(F.sum("ids").alias("n")).select("stretch", F.coalesce(F.sum("n").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("ids").over(W.partitionBy("stretch").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = files.withColumn("inside", inside).join(totals, "stretch").select("file", (F.col("base") + F.col("inside")).alias("before"))
+    return placed.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -1,7 +1,8 @@
 """WARC archives: writing with an index, and reading selected records by coalesced byte ranges.
 
 Each record is a gzip member of its own. While a task writes, it notes file, offset, length, URL and digest of every
-record; this index is the table from which records are selected. Reading deals the selected records by file and by
+record; this index is the table from which records are selected. An attempt writes files of its own name, and the index, which
+holds only attempts that were committed, tells which files count. Reading deals the selected records by file and by
 stretch of the file, sorts them by offset, joins ranges that lie close together into one read, and inflates each record
 from its own bytes.
 
@@ -10,7 +11,7 @@ others revisit it. The groups are counted first, and the payloads are joined to
 in a third of all rows does not meet in one task.
 
 Defined cases: a null html is an empty payload; a null URL is written without a target; rows that repeat the largest id
-and its payload are all responses; a null id is smaller than any other. Line breaks in a URL are escaped in the header.
+and its payload are all responses, and records of one id have one record id; a null id is smaller than any other. Line breaks in a URL are escaped in the header.
 """
 
 from __future__ import annotations
@@ -77,31 +78,26 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: in
 
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
-        task, number, sink, made, name, at = TaskContext.get(), 0, None, "", "", 0
+        task, number, sink, name, at = TaskContext.get(), 0, None, "", 0
         notes: list[tuple] = []
 
-        def close():
-            sink.close()
-            store.move(made, f"{top}/{name}")
-
         for batch in batches:
             for page_id, url, payload, digest, holder, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None:
-                    name, at = f"part-{task.partitionId():06d}-{number:04d}.warc.gz", 0
-                    made = f"{top}/_writing-{task.taskAttemptId()}-{number}"
-                    sink, number = store.open_output_stream(made, compression=None), number + 1
+                    name, at = f"part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.gz", 0
+                    sink, number = store.open_output_stream(f"{top}/{name}", compression=None), number + 1
                 deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
                 raw = deflate.compress(record(page_id, url, payload, digest, holder, revisit)) + deflate.flush()
                 sink.write(raw)
                 notes.append((name, at, len(raw), page_id, url, digest, "revisit" if revisit else "response"))
                 at += len(raw)
                 if at >= file_bytes:
-                    close()
+                    sink.close()
                     sink = None
             yield C.batch(_INDEX, notes)
             notes = []
         if sink is not None:
-            close()
+            sink.close()
 
     return C.written(told.mapInArrow(run, _INDEX), f"{folder.rstrip('/')}-index")
 
@@ -128,4 +124,7 @@ def read_warc(index: DataFrame, folder: str, select: Column | None = None, stret
         return C.rows(_RECORD, [tuple(x.values()) for x in out])
 
     chosen = index if select is None else index.where(select)
-    return chosen.select("file", "offset", "length", F.floor(F.col("offset") / stretch).alias("stretch")).groupBy("file", "stretch").applyInArrow(run, _RECORD)
+    # Tasks by the bytes that they read, not by the rows of the index, which are small.
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    dealt = chosen.select("file", "offset", "length", F.floor(F.col("offset") / stretch).alias("stretch")).repartition(max(1, -(-int(total) // stretch)), "file", "stretch")
+    return dealt.groupBy("file", "stretch").applyInArrow(run, _RECORD)

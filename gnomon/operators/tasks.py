@@ -306,7 +306,7 @@ def rank(tasks: DataFrame, now: Column, capabilities: list[str] | None = None, i
         rows = rows.where(F.col("deadline").isNull() | (F.col("deadline") > now))
     if capabilities is not None and "capabilities" in tasks.columns:
         mine = F.array(*[F.lit(c) for c in capabilities]).cast("array<string>")
-        rows = rows.where(F.size(F.array_except("capabilities", mine)) == 0)
+        rows = rows.where(F.size(F.array_except(F.coalesce("capabilities", F.array().cast("array<string>")), mine)) == 0)
     rows = rows.withColumn("effective", effective_priority(F.col("priority"), F.col("created"), now, interval, step).cast("long"))
     if top is not None:
         return rows.orderBy(F.desc("effective"), "created", "task_id").limit(top)

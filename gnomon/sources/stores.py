@@ -18,7 +18,9 @@ def latest(log: DataFrame, key: str | list[str] = "id", seq: str = "seq", first:
     """One row for each key: the one with the greatest seq (the least with first). Ties go to the greater (smaller) row."""
     keys = [key] if isinstance(key, str) else key
     rest = [c for c in log.columns if c not in keys]
-    pick = (F.min if first else F.max)(F.struct(seq, *[c for c in rest if c != seq]))
+    # Maps have no order of their own; as JSON they have.
+    order = F.struct(seq, *[F.to_json(c) if "map<" in k else F.col(c) for c, k in log.dtypes if c not in (*keys, seq)])
+    pick = (F.min_by if first else F.max_by)(F.struct(*rest), order)
     return log.groupBy(*keys).agg(pick.alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest]).select(log.columns)
 
 

@@ -53,5 +53,44 @@ def retry_delay(attempt: Column, initial: float = 1.0, factor: float = 2.0, most
 
 def identity(subject: Column, predicate: Column, obj: Column) -> Column:
     """A claim's identity: case and runs of white space do not count."""
-    one = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    one = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " "))
     return F.concat_ws("\x1f", one(subject), one(predicate), one(obj))
+
+
+def new_id(prefix: str) -> Column:
+    """A random id, another one for each row and each run; ids that must last are stable_id()."""
+    return F.concat(F.lit(prefix + "_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
+def now_text() -> Column:
+    """The time of the query in UTC, to the second."""
+    return time_text(F.current_timestamp())
+
+
+def time_text(t: Column) -> Column:
+    """A time as text in UTC, to the second, with Z."""
+    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def time_of(text: Column) -> Column:
+    """A time from its text; one without a zone is an error."""
+    zoned = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    return F.when(text.isNull(), None).when(zoned, F.to_timestamp(text)).otherwise(F.raise_error(F.concat(F.lit("a time needs a zone: "), text)))
+
+
+def span_slice(text: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, 0-based and half-open."""
+    return F.substring(text, start + 1, F.greatest(F.lit(0), end - start))
+
+
+def checked_unit(c: Column) -> Column:
+    """A number between 0 and 1; others, and null, are an error."""
+    return F.when(c.between(0, 1), c).otherwise(F.raise_error(F.lit("confidence out of range")))
+
+
+def embedding_id(object_id: Column, model: Column, version: Column) -> Column:
+    return stable_id("emb", object_id, model, version)
+
+
+def lease_valid(expires: Column, now: Column) -> Column:
+    return now < expires

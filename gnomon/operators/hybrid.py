@@ -67,6 +67,14 @@ def lexical(chunks: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     return found.select("query_id", F.lit("lexical").alias("method"), F.col("id").alias("object_id"), "rank", "score").withColumn("rank", F.col("rank").cast("int"))
 
 
+def embedding_records(rows: DataFrame, model: str = "feature-hash", version: str = "1", dims: int = 256) -> DataFrame:
+    """id, object_id, model, version, dimensionality, vector of rows (id, text)."""
+    from gnomon.functions.text import embedding_id
+
+    named = R.embed(rows, "id", dims).select(F.col("id").alias("object_id"), F.lit(model).alias("model"), F.lit(version).alias("version"), F.lit(dims).alias("dimensionality"), "vector")
+    return named.select(embedding_id(F.col("object_id").cast("string"), F.col("model"), F.col("version")).alias("id"), *named.columns)
+
+
 def matching(embeddings: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
     """Embeddings whose metadata agrees with every key and value wanted."""
     for key, value in (wanted or {}).items():

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gnomon import corpus
+from gnomon.functions import text as X
 from gnomon.functions.text import normalize_text
 from gnomon.operators import extraction as E
 from gnomon.operators import hybrid as H
+from gnomon.operators import retrieval as R
+from gnomon.operators.knowledge import last_seen
 from gnomon.plans.registry import query
 from gnomon.sources import adapters as A
 
@@ -120,3 +123,58 @@ def llm_lookup(t):
     b = t("benchmark").select("item_id", normalize_text(F.col("text")).alias("prompt"))
     answers = b.where("item_id % 2 = 0").select("prompt", F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("answer"), F.col("item_id").alias("seq"))
     return A.answer_prompts(b, answers, "unknown").select("item_id", "answer")
+
+
+# Scalars.
+@query("SELECT doc_id, substr(text, 11, 20) AS slice, 'emb_' || substr(sha256(doc_id || chr(31) || 'm' || chr(31) || '1'), 1, 16) AS embedding_id FROM documents")
+def text_scalars(t):
+    doc = F.col("doc_id").cast("string")
+    return t("documents").select("doc_id", X.span_slice(F.col("text"), F.lit(10), F.lit(30)).alias("slice"), X.embedding_id(doc, F.lit("m"), F.lit("1")).alias("embedding_id"))
+
+
+@query("""WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS text, event_id % 4 AS n, date_trunc('second', ts) AS s FROM events)
+SELECT event_id, CASE n WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN date_trunc('day', s) END AS seen, text FROM e""")
+def time_scalars(t):
+    """Times of three forms, and one that is none."""
+    e, n = t("events"), F.col("event_id") % 4
+    ts = F.col("ts").cast("timestamp")
+    form = F.when(n == 0, X.time_text(ts)).when(n == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(n == 2, F.date_format(ts, "yyyy-MM-dd")).otherwise("yesterday")
+    return e.select("event_id", last_seen(F.lit(None).cast("string"), form, F.lit("never")).cast("timestamp_ntz").alias("seen"), X.time_text(X.time_of(X.time_text(ts))).alias("text"))
+
+
+_DENSE = """WITH w AS (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x))) AS t FROM benchmark),
+s AS (SELECT item_id, CAST(('0x' || substr(md5(t), 7, 2) || substr(md5(t), 5, 2) || substr(md5(t), 3, 2) || substr(md5(t), 1, 2)) AS BIGINT) % 100 AS dim, sum(CASE WHEN CAST(('0x' || substr(md5(t), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM w GROUP BY ALL)"""
+
+
+@query(f"{_DENSE} SELECT item_id AS object_id, CAST(dim AS INTEGER) AS dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY item_id)), 6) AS weight FROM s WHERE s <> 0")
+def embedding_batch(t):
+    rows = H.embedding_records(t("benchmark").select(F.col("item_id").alias("id"), "text"), dims=100)
+    return rows.select("object_id", F.posexplode("vector").alias("dim", "w")).where("w <> 0").select("object_id", "dim", F.round("w", 6).alias("weight"))
+
+
+@query("""WITH m AS (SELECT vec_id, embedding FROM embeddings WHERE label = 3), s AS (SELECT q.vec_id AS query_id, m.vec_id AS object_id, round(coalesce(list_cosine_similarity(m.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6) AS score FROM m, embeddings q WHERE q.vec_id % 50 = 0)
+SELECT query_id, object_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= 5""")
+def vector_topk_filtered(t):
+    """By cosine among the vectors of one label: the filter comes before the scores."""
+    v = t("embeddings")
+    records = v.select(F.col("vec_id").alias("object_id"), F.col("embedding").cast("array<double>").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    mine = H.matching(records, {"label": "3"}).select(F.col("object_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    found = R.cosine_top(mine, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")), 5)
+    return found.select("query_id", F.col("vec_id").alias("object_id"), F.col("rank").cast("int"), "score")
+
+
+@query("""WITH w AS (SELECT o_orderkey % 40 AS query_id, o_custkey AS object_id, row_number() OVER (PARTITION BY o_orderkey % 40 ORDER BY o_totalprice DESC, o_custkey, o_orderkey) AS rank FROM orders), k AS (SELECT * FROM w WHERE rank <= 20),
+f AS (SELECT query_id, object_id, sum(CASE WHEN rank % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0 END / (59 + rank)) AS s FROM k GROUP BY ALL),
+z AS (SELECT *, least(1, s * 60) + 0.4::DOUBLE * least(1, (object_id % 13) / 10.0::DOUBLE) + 0.2::DOUBLE * least(1, (object_id % 7) / 10.0::DOUBLE) + 0.3::DOUBLE * (object_id % 5) / 5.0::DOUBLE + 0.1::DOUBLE * least(1, object_id % 3) AS r FROM f)
+SELECT query_id, object_id, round(s, 9) AS fused_score, round(r, 9) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, round(s, 12) DESC, object_id) AS INTEGER) AS position FROM z""")
+def fused_and_reranked(t):
+    """Weighted fusion of two methods' rankings, and the order that features give it."""
+    from pyspark.sql import Window as W
+
+    q = F.col("o_orderkey") % 40
+    ranked = t("orders").select(q.alias("query_id"), F.col("o_custkey").alias("object_id"), F.row_number().over(W.partitionBy(q).orderBy(F.desc("o_totalprice"), "o_custkey", "o_orderkey")).alias("rank")).where("rank <= 20")
+    ranked = ranked.withColumn("method", F.when(F.col("rank") % 2 == 0, "even").otherwise("odd"))
+    fused = R.reciprocal_rank_fusion(ranked, weights={"even": 2.0}, contributions=True).withColumn("fused_score", F.col("score"))
+    i = F.col("object_id")
+    rows = fused.withColumns({"evidence_count": (i % 13).cast("double"), "claim_count": (i % 7).cast("double"), "entity_centrality": (i % 5) / 5.0, "source_diversity": (i % 3).cast("double")})
+    return H.rerank(rows).select("query_id", "object_id", F.round("fused_score", 9).alias("fused_score"), "rerank_score", "position")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,6 +103,14 @@ def json_documents(sources: DataFrame) -> DataFrame:
     return _raw(kept, F.col("n"), F.col("r.title"), "json", F.col("r.text"), F.lit("record_index"), F.col("n").cast("string"), F.lit("record"), F.col("r.record")).unionByName(plain)
 
 
+class SearchProvider(Protocol):
+    """A search service of the caller's: results as raw documents, and one document by its reference."""
+
+    def search(self, queries: DataFrame, limit: int) -> DataFrame: ...
+
+    def document(self, references: DataFrame) -> DataFrame: ...
+
+
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {"text": text_documents, "markdown": markdown_documents, "json": json_documents}
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: What stands for a null id where ids are compared: it sorts before all others.
 NULL_ID = -(1 << 63)
 #: Parts of a group that may be large.
@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
         top = f"file://{tempfile.mkdtemp(prefix='gnomon-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/gnomon-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/gnomon-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -68,17 +68,15 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     return max(1, -(-int(total) // block_bytes))
 
 
-def block_of(ident: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(ident, F.lit(17)), F.lit(blocks)).cast("int")
+def block_of(ident: Column, blocks: int, digest: Column | None = None) -> Column:
+    """A block by id, or by id and digest of the text, so that rows of one id, or of none, do not all meet in one."""
+    return F.pmod(F.xxhash64(ident, *([] if digest is None else [digest]), F.lit(17)), F.lit(blocks)).cast("int")
 
 
-def in_blocks(docs: DataFrame, blocks: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def in_blocks(docs: DataFrame, blocks: int, ident: str = "doc_id", text: str = "text", by_text: bool = False) -> DataFrame:
     """block, doc_id, text as bytes; a null text becomes empty."""
-    return docs.select(
-        block_of(F.col(ident), blocks).alias("block"),
-        F.col(ident).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"),
-    )
+    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return docs.select(block_of(F.col(ident).cast("long"), blocks, F.md5(raw) if by_text else None).alias("block"), F.col(ident).cast("long").alias("doc_id"), raw.alias("text"))
 
 
 def copies(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,9 +97,9 @@ def copies_of(rows: DataFrame) -> DataFrame:
     return dealt.join(salted, ["digest", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first")
 
 
-def copy_notes(found: DataFrame, blocks: int) -> DataFrame:
+def copy_notes(found: DataFrame, blocks: int, by_text: bool = False) -> DataFrame:
     """The copies as notes to the blocks that hold them: block, kind 0, num (the id), shard, data (the digest)."""
-    return found.select(block_of(F.col("doc_id"), blocks).alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("num"), F.lit(0).alias("shard"), F.col("digest").cast("binary").alias("data")).distinct()
+    return found.select(block_of(F.col("doc_id"), blocks, F.col("digest") if by_text else None).alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("num"), F.lit(0).alias("shard"), F.col("digest").cast("binary").alias("data")).distinct()
 
 
 def sorted_docs(left) -> tuple[np.ndarray, list[bytes], list]:

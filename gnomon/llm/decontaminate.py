@@ -121,8 +121,9 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, percent: int = P
     owners = C.written(owners, f"{folder}/windows")
     distinct = owners.groupBy("key").agg(F.first("window").alias("window"))
     ours = C.written(_weights(distinct, ["key"], "window", n), f"{folder}/ours")
-    a = _fingerprints(ours, "key").join(owners.select("key", "item_key").distinct(), "key")
-    b = _fingerprints(theirs, "item_key")
+    # Written, so that the sums of all bits stay out of the plans that follow.
+    a = C.written(_fingerprints(ours, "key"), f"{folder}/prints").join(owners.select("key", "item_key").distinct(), "key")
+    b = C.written(_fingerprints(theirs, "item_key"), f"{folder}/item-prints")
     left = a.select("key", "item_key", "total", "low", "high", F.inline(_blocks(radius)))
     right = b.select("item_key", F.col("low").alias("low_"), F.col("high").alias("high_"), F.col("total").alias("other"), F.inline(_blocks(radius)))
     apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low_"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_")))

@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places of the bit field (a byte each), and shingles of patterns that one field and one broadcast may hold.
-FIELD, BOUND = 1 << 18, 1 << 16
+#: Places of the bit field (a bit each), and shingles of patterns that one field and one broadcast may hold.
+FIELD, BOUND = 1 << 19, 1 << 16
 
 
 def word_list(text: Column) -> Column:
@@ -45,9 +45,14 @@ def pattern_shingles(patterns: DataFrame, ident: str, text: str, n: int) -> Data
 
 
 def _admitted(field: np.ndarray, size: int) -> Column:
-    """The places whose shingles the bit field admits."""
-    bits = F.lit(bytearray(field.tobytes()))
-    return F.filter(places(F.col("h"), size), lambda i: F.substring(bits, (F.pmod(shingle(F.col("h"), i, size), F.lit(FIELD)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
+    """The places whose shingles the bit field admits. The field goes into the plan as an array of longs, which is folded there."""
+    longs = F.from_json(F.lit("[" + ",".join(map(str, field.tolist())) + "]"), "array<bigint>")
+
+    def known(i: Column) -> Column:
+        place = F.pmod(shingle(F.col("h"), i, size), F.lit(FIELD))
+        return F.getbit(F.element_at(longs, (F.shiftright(place, 6) + 1).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return F.filter(places(F.col("h"), size), known)
 
 
 def found_places(docs: DataFrame, keep: list[str], text: str, shingles: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -78,6 +83,7 @@ def _found(base: DataFrame, keep: list[str], known: list) -> DataFrame:
     for size in sizes:
         field = np.zeros(FIELD, np.uint8)
         field[[r["sh"] % FIELD for r in known if r["size"] == size]] = 1
+        field = np.packbits(field, bitorder="little").view("<i8")
         kind = F.lit(size).alias("size")
         spots.append(F.transform(_admitted(field, size), lambda i: F.struct(i.alias("at"), kind)))  # noqa: B023
     return base.select(*keep, "words", "h", F.inline(F.concat(*spots))).withColumn("sh", shingle(F.col("h"), F.col("at"), max(sizes), F.col("size"))).drop("h")

@@ -197,9 +197,9 @@ def remove_repeated_windows(docs: DataFrame, n: int = N, ident: str = "doc_id",
     expected = blocks * block_bytes // 4  # windows, at most about one for each four bytes
     width = C.cell_bits(expected)
     shards = max(1, (expected // SHARD).bit_length())
-    rows = C.in_blocks(docs, blocks, ident, text)
+    rows = C.in_blocks(docs, blocks, ident, text, by_text=True)
     # Narrow beside the text, and kept as a table: the three passes below do not work it out again.
-    note = C.copy_notes(C.written(C.copies(docs, ident, text), f"{C.shared_dir(spark)}/copies"), blocks)
+    note = C.copy_notes(C.written(C.copies(docs, ident, text), f"{C.shared_dir(spark)}/copies"), blocks, by_text=True)
     left = lambda: rows.groupBy("block")
     sketch = left().cogroup(note.groupBy("block")).applyInArrow(_sketch(width, shards, n), _SKETCH)
     cells = sketch.groupBy("num", "shard").applyInArrow(_merge, _NOTE)

@@ -184,3 +184,13 @@ def test_long_texts(spark, odd_docs):
                 gone[j : j + 100] = b"\1" * 100
         want.append((i, len(t), sum(gone)))
     assert got_rows == want
+
+
+def test_small_sets_do_not_meet_by_chance():
+    """Sets of few features share signatures only if they share features, and each has a bounded number of them."""
+    rng, levels = np.random.default_rng(9), J.Levels(80)
+    for size in range(1, 11):
+        sets = rng.integers(0, 1 << 63, (3000, size), dtype=np.uint64)
+        sig, doc, _ = J.signatures(np.sort(sets, axis=1).ravel(), np.full(3000, size), levels)
+        many = np.unique(sig, return_counts=True)[1]
+        assert many.max() <= 4 and np.bincount(doc).max() <= 100, size

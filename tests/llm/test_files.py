@@ -1,5 +1,6 @@
 """Token files, packing, archives and top-k: round trips and brute force."""
 
+import collections
 import gzip
 import hashlib
 import zlib
@@ -77,6 +78,48 @@ def test_packing(spark, odd_docs, no_docs):
         padding += 0 if at & (at - 1) == 0 else 4096 - at
         assert at <= 4096
     assert padding * 50 <= sum(map(len, whole))
+    # The pieces of a document, put together by their starts, are its ids.
+    docs = {}
+    for r in rows:
+        docs.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
+    put = []
+    for (_, n), parts in docs.items():
+        copies = sum(1 for start, _ in parts if start == 0)  # equal rows are cut alike
+        parts = sorted(parts)
+        assert sum(len(x) // 4 for _, x in parts) == n * copies
+        if copies == 1:
+            put.append(np.frombuffer(b"".join(x for _, x in parts), "<u4").tolist())
+            assert [s for s, _ in parts] == np.cumsum([0, *(len(x) // 4 for _, x in parts)])[:-1].tolist()
+    single = collections.Counter((r["doc_id"], len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in odd_docs.collect())
+    assert sorted(put) == sorted(plain.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in odd_docs.collect() if single[r["doc_id"], len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1] == 1)
+
+
+def test_columns_that_clash(spark):
+    """Tables whose other columns are named like those used inside."""
+    pages = spark.createDataFrame([(1, "u", "h" * 2000, "d", 9), (2, "v", "h" * 2000, "d", 9)], "page_id long, url string, html string, digest string, salt int")
+    folder = f"{C.shared_dir(spark)}/clash"
+    assert {r["page_id"]: r["refers_to"] for r in A.read_warc(A.write_warc(pages, folder), folder).collect()} == {1: 2, 2: None}
+    vectors = spark.createDataFrame([(0, [1.0], 1, 1, 1), (1, [2.0], 1, 1, 1), (None, [3.0], 1, 1, 1)], "vec_id long, embedding array<float>, id int, dim int, block int")
+    assert [tuple(r) for r in K.top_k(vectors, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
+    docs = spark.createDataFrame([(1, "a b", 1, 1)], "doc_id long, text string, tie int, file int")
+    folder = f"{C.shared_dir(spark)}/clash-ids"
+    assert B.read_token_files(spark, folder, B.write_token_files(docs, folder, "byte_bpe_50k.json", 2)).count() == 1
+
+
+def test_a_very_long_page(spark):
+    html = "<p>" + "long " * 2_000_000
+    folder = f"{C.shared_dir(spark)}/long"
+    index = A.write_warc(spark.createDataFrame([(1, "u", html), (2, "v", html)], "page_id long, url string, html string"), folder)
+    rows = {r["page_id"]: r for r in A.read_warc(index, folder).select("page_id", "payload_bytes", "refers_to").collect()}
+    assert rows[1]["payload_bytes"] == len(html) and rows[1]["refers_to"] == 2
+
+
+def test_scores_beyond_doubles(spark):
+    big = [float(2**24 + 1), float(2**24 - 1), 1.0]
+    rows = [(0, big), (1, big), (2, [-x for x in big])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [int(256 * x) for x in big]
+    assert [(r["vec_id"], r["score"]) for r in K.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, sum(x * x for x in want)), (2, -sum(x * x for x in want))]
 
 
 def test_cuts_cover():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -18,6 +18,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
         top = f"file://{tempfile.mkdtemp(prefix='gnomon-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/gnomon-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/gnomon-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes all tables that this application wrote below spark.checkpoint.dir. DataFrames that still read them fail then."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/gnomon-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ executor is lost, because rows are sorted by id and text first.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +25,11 @@ NULL_ID = -(1 << 63)
 #: Parts of a group that may be large.
 SALTS = 32
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, without this call
+    _libc = None
+
 _rng = np.random.default_rng(20_240_611)
 #: Two independent random words for each byte, and odd multipliers for each place in a word.
 _BYTE = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -102,6 +108,13 @@ def copy_notes(found: DataFrame, blocks: int, by_text: bool = False) -> DataFram
     return found.select(block_of(F.col("doc_id"), blocks, F.col("digest") if by_text else None).alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("num"), F.lit(0).alias("shard"), F.col("digest").cast("binary").alias("data")).distinct()
 
 
+def tidy() -> None:
+    """Gives memory that is free in this process back to the system, which the allocators would otherwise keep for later."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def sorted_docs(left) -> tuple[np.ndarray, list[bytes], list]:
     """A block's rows in a fixed order: ids for comparison, texts, ids as they are."""
     raw = left.column("doc_id").to_pylist()

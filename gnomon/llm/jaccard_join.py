@@ -167,6 +167,7 @@ def sketch(features: np.ndarray, width: int) -> np.ndarray:
 class _Block:
     def __init__(self, docs: pa.Table, notes: pa.Table, n: int, levels: Levels):
         self.block, self.levels = docs.column("block")[0].as_py(), levels
+        C.tidy()
         self.ids, self.texts, _ = C.sorted_docs(docs)
         rows = notes.to_pylist()
         self.notes = {x["shard"]: x["data"] for x in rows if x["kind"] == SEEN}
@@ -259,6 +260,7 @@ class Forest:
 def _candidates(levels: Levels):
     def run(group: pa.Table) -> pa.Table:
         """A spanning forest of the pairs that share a signature and that sketches do not rule out."""
+        C.tidy()
         rows = group.sort_by("block").to_pylist()
         ids = np.concatenate([np.frombuffer(x["ids"], np.int64) for x in rows])
         sizes = np.concatenate([np.frombuffer(x["sizes"], "<i8") for x in rows])

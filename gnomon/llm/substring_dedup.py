@@ -41,6 +41,7 @@ class _Block:
 
     def __init__(self, docs: pa.Table, notes: pa.Table, n: int):
         self.block = docs.column("block")[0].as_py()
+        C.tidy()
         self.ids, self.texts, self.raw = C.sorted_docs(docs)
         notes = notes.to_pylist()
         self.notes = {(x["kind"], x["num"], x["shard"]): x["data"] for x in notes if x["kind"] != COPY}

@@ -261,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", ident: str =
     def run(rows: pa.Table) -> pa.Table:
         rows = sorted(zip(rows.column("id").to_pylist(), rows.column("label").to_pylist(), rows.column("text").to_pylist(), strict=True))
         model = fit([r[2].encode() for r in rows], np.array([r[1] for r in rows], bool))
+        C.tidy()
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     found = sample.groupBy("task").applyInArrow(run, "model binary").first()
@@ -281,6 +282,7 @@ def score_documents(docs: DataFrame, model: dict | None, text: str = "text", int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b"" if x is None else x.encode() for x in batch.column(at).to_pylist()]
+            C.tidy()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(model.value, texts), pa.float64())], names=[*names, "score_"])
 
     from pyspark.sql import types as T

@@ -123,7 +123,7 @@ def graph_quality(spark: SparkSession) -> DataFrame:
     from gnomon.operators.knowledge import set_recall
 
     kb = knowledge_base(spark)
-    found = H.answer(kb, queries(spark), features=H.no_features(spark), rounds=9)
+    found = H.answer(kb, queries(spark), chunks=False)
     name = lambda c: kb.entities.select(F.col("id").alias(c + "_id"), F.lower("name").alias(c))
     links = found.relations.join(name("subject"), "subject_id").join(name("object"), "object_id")
     good = judgements(spark).join(kb.documents.select(F.col("title").alias("reference"), F.col("id").alias("document_id")), "reference")

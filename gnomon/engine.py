@@ -157,8 +157,8 @@ class KnowledgeEngine:
     def retrieve(self, queries: DataFrame, top: int = 10, wanted: dict[str, str] | None = None, methods: tuple[str, ...] = H.METHODS, trace: H.Trace | None = None) -> DataFrame:
         return H.retrieve(self.base(), queries, top, wanted, methods, trace=trace)
 
-    def answer(self, queries: DataFrame, top: int = 8, depth: int = 2) -> H.Answers:
-        return H.answer(self.base(), queries, top, depth)
+    def answer(self, queries: DataFrame, top: int = 8, depth: int = 2, chunks: bool = True) -> H.Answers:
+        return H.answer(self.base(), queries, top, depth, chunks=chunks)
 
     def query_graph(self, predicate: str | None = None, subject: str | None = None, obj: str | None = None, entity_type: str | None = None, limit: int = 100) -> DataFrame:
         """Relations that agree with all that is given, the first `limit` by id; of these, with a type, those that touch an entity of it."""
@@ -183,7 +183,7 @@ class KnowledgeEngine:
         return G.neighbors(self.edges(), self.spark.createDataFrame([(i,) for i in ids], "id string"), direction)
 
     def paths(self, source: str, target: str, longest: int = 4, most: int = 20) -> DataFrame:
-        return G.paths_between(self.edges(), self.spark.createDataFrame([(source, target)], "source string, target string"), longest, most)
+        return G.paths_between(self.edges(), self.spark.createDataFrame([(source, target)], "source string, target string"), longest, most).orderBy(F.desc("weight"), "path")
 
     def statistics(self) -> DataFrame:
         return G.full_statistics(self.edges(), self.table("entities"))

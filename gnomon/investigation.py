@@ -199,7 +199,7 @@ class Investigations:
         gaps = self._keep(s, "gaps", self.engine.gaps())
         self._keep(s, "contradictions", self.engine.contradictions())
         asked = self.spark.createDataFrame([(0, s.question)], "query_id int, text string")
-        sure = self.engine.answer(asked).confidence.first()["confidence"]
+        sure = self.engine.answer(asked, chunks=False).confidence.first()["confidence"]
         self._note(s, "snapshot", {"gaps": gaps.count(), "confidence": sure})
         return gaps
 
@@ -339,7 +339,7 @@ class Investigations:
         after, new = cut_lineage(self.engine.gaps()), cut_lineage(self.engine.contradictions())
         report = V.progress(before, after, old, new, cost=s.used.cost, evidence=self._kept(s, "evidence").count()).first().asDict()
         self._note(s, "progress", report)
-        sure = self.engine.answer(self.spark.createDataFrame([(0, s.question)], "query_id int, text string")).confidence.first()["confidence"]
+        sure = self.engine.answer(self.spark.createDataFrame([(0, s.question)], "query_id int, text string"), chunks=False).confidence.first()["confidence"]
         if not self._end_if(session_id, satisfied=False, gaps=after.count(), confidence=sure, best=best, done=1):
             s = self.status(session_id)
             self._save(s.complete_iteration(self.clock()))

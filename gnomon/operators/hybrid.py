@@ -197,7 +197,7 @@ def retrieve(kb, queries: DataFrame, top: int = 10, wanted: dict[str, str] | Non
 class Answers:
     """The graph around each query, one table for each kind of record; all have query_id."""
 
-    retrieval: DataFrame
+    retrieval: DataFrame | None
     entities: DataFrame
     relations: DataFrame
     claims: DataFrame
@@ -207,14 +207,15 @@ class Answers:
     confidence: DataFrame
 
 
-def answer(kb, queries: DataFrame, top: int = 8, depth: int = 2, features: DataFrame | None = None, rounds: int = 100) -> Answers:
+def answer(kb, queries: DataFrame, top: int = 8, depth: int = 2, features: DataFrame | None = None, rounds: int = 100, chunks: bool = True) -> Answers:
     """What a knowledge base holds around the entities that queries name.
 
     A walk of `depth` steps, of 200 nodes and 800 edges at most, gives entities and relations; claims are those from the
     relations' chunks or about one of the entities; evidence and sources are what these name. `top` bounds the retrieval
-    alone. The confidence is the mean of the claims', without claims twice the personal rank of all, 1 at most.
+    alone, and without `chunks` there is none. The confidence is the mean of the claims', without claims twice the personal rank
+    of all, 1 at most.
     """
-    retrieval = retrieve(kb, queries, top, features=features, rounds=rounds)
+    retrieval = retrieve(kb, queries, top, features=features, rounds=rounds) if chunks else None
     linked = cut_lineage(link(queries, kb.entities))
     seeds = linked.select("query_id", F.col("entity_id").alias("id"))
     edges = G.edges_of(kb.relations)
@@ -229,13 +230,23 @@ def answer(kb, queries: DataFrame, top: int = 8, depth: int = 2, features: DataF
     named = claims.select("query_id", F.explode(F.concat("supporting_evidence", "contradicting_evidence")).alias("id")).distinct()
     sources = claims.select("query_id", F.explode("source_ids").alias("id")).unionByName(relations.select("query_id", F.explode("source_ids").alias("id"))).distinct()
     mean = claims.groupBy("query_id").agg(F.avg("confidence").alias("mean"))
-    rest = linked.groupBy("query_id").agg(F.count("*").alias("n"))
-    mass = G.personal_ranks(edges, seeds, kb.entities.select("id"), rounds=rounds).groupBy("query_id").agg(F.least(F.lit(1.0), 2 * F.sum("rank")).alias("mass"))
-    confidence = queries.select("query_id").join(mean, "query_id", "left").join(rest, "query_id", "left").join(mass, "query_id", "left")
-    confidence = confidence.select("query_id", F.coalesce("mean", F.when(F.col("n") > 0, F.coalesce("mass", F.lit(0.0))), F.lit(0.0)).alias("confidence"))
+    # Ranks are worked out only for queries that name an entity and meet no claim.
+    bare = cut_lineage(seeds.join(claims.select("query_id").distinct(), "query_id", "left_anti"))
+    sure = queries.select("query_id").distinct().join(mean, "query_id", "left")
+    if bare.isEmpty():
+        sure = sure.withColumn("mass", F.lit(0.0))
+    else:
+        mass = personal_ranks_sum(edges, bare, kb.entities.select("id"), rounds)
+        sure = sure.join(mass, "query_id", "left")
+    confidence = sure.select("query_id", F.coalesce("mean", "mass", F.lit(0.0)).alias("confidence"))
     return Answers(retrieval, entities, relations, claims, named.join(kb.evidence, "id"), sources.join(kb.sources, "id"), ranked_paths(edges, linked), confidence)
 
 
+def personal_ranks_sum(edges: DataFrame, seeds: DataFrame, verts: DataFrame, rounds: int) -> DataFrame:
+    """query_id, mass: twice the personal ranks of all nodes, 1 at most."""
+    return G.personal_ranks(edges, seeds, verts, rounds=rounds).groupBy("query_id").agg(F.least(F.lit(1.0), 2 * F.sum("rank")).alias("mass"))
+
+
 def ranked_paths(edges: DataFrame, linked: DataFrame, longest: int = 4, each: int = 10, top: int = 10) -> DataFrame:
     """query_id, source, target, path, hops, weight: ways between the entities that a query names, from the one named first;
     `each` for a pair in the order of their nodes, distinct, and of all the `top` of greatest weight."""

@@ -105,11 +105,11 @@ def _records(t):
     order = F.col("o_orderkey").cast("string")
     ids = lambda when: F.sort_array(F.collect_list(F.when(when, order)))
     return o.groupBy(F.col("o_custkey").cast("string").alias("subject"), F.col("o_orderstatus").alias("object")).agg(
-        F.round(F.least(F.lit(1.0), F.avg(price) / 500000.0), 6).alias("confidence"), ids(price >= 100000).alias("supporting_evidence"), ids(price < 20000).alias("contradicting_evidence"), F.sort_array(F.collect_set("o_orderpriority")).alias("source_ids"), F.max("o_orderdate").alias("seen"),
+        F.round(F.least(F.lit(1.0), F.avg(price) / 500000.0), 12).alias("confidence"), ids(price >= 100000).alias("supporting_evidence"), ids(price < 20000).alias("contradicting_evidence"), F.sort_array(F.collect_set("o_orderpriority")).alias("source_ids"), F.max("o_orderdate").alias("seen"),
     ).select(F.concat_ws(":", "subject", "object").alias("id"), F.concat_ws(" ", "subject", F.lit("order_status"), "object").alias("text"), "subject", F.lit("order_status").alias("predicate"), "object", "confidence", "supporting_evidence", "contradicting_evidence", "source_ids", F.when(F.col("seen") < "1996-01-01", "stale").otherwise("unverified").alias("verification_state"))
 
 
-_RECORDS = """c AS (SELECT o_custkey || ':' || o_orderstatus AS id, CAST(o_custkey AS VARCHAR) AS subject, o_orderstatus AS object, round(least(1, avg(o_totalprice) / 500000), 6) AS confidence, count(*) FILTER (o_totalprice >= 100000) AS support, count(DISTINCT o_orderpriority) AS sources,
+_RECORDS = """c AS (SELECT o_custkey || ':' || o_orderstatus AS id, CAST(o_custkey AS VARCHAR) AS subject, o_orderstatus AS object, round(least(1, avg(o_totalprice) / 500000), 12) AS confidence, count(*) FILTER (o_totalprice >= 100000) AS support, count(DISTINCT o_orderpriority) AS sources,
 CASE WHEN max(o_orderdate) < TIMESTAMP '1996-01-01' THEN 'stale' ELSE 'unverified' END AS state FROM orders GROUP BY o_custkey, o_orderstatus),
 pairs AS (SELECT x.id AS a, y.id AS b, least(1, x.confidence * y.confidence * (1 + x.support + y.support) / 3) AS strength FROM c x JOIN c y ON x.subject = y.subject AND x.object < y.object),
 r AS (SELECT 'customer:' || o_custkey AS id, count(*)::DOUBLE / 1000 AS rank FROM orders GROUP BY o_custkey), top AS (SELECT max(rank) AS top FROM r),

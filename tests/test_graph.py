@@ -161,3 +161,26 @@ def test_links_take_the_longest_name(spark):
     assert sorted((r["query_id"], r["place"], r["entity_id"]) for r in H.link(asked, entities).collect()) == [(1, 0, "e2"), (1, 1, "e3"), (1, 2, "e1"), (2, 0, "e1")]
     assert H.link(asked, entities.limit(0)).count() == 0
     assert {r["query_id"]: r["entity_ids"] for r in H.analyze(asked, entities).collect()}[3] == []
+
+
+def test_answers(spark):
+    """What is around a query's entities; queries without any get nothing, and unknown ones no confidence."""
+    from gnomon import corpus
+
+    kb = corpus.knowledge_base(spark)
+    asked = spark.createDataFrame([(1, "Ada Lovelace and London"), (2, "nothing here"), (3, "Cambridge?")], "query_id int, text string")
+    a = H.answer(kb, asked, chunks=False)
+    sure = {r["query_id"]: r["confidence"] for r in a.confidence.collect()}
+    assert sure == {1: 1.0, 2: 0.0, 3: 1.0} and a.retrieval is None
+    names = {r["id"]: r["name"] for r in kb.entities.collect()}
+    paths = [(">".join(names[x] for x in r["path"].split(">")), r["weight"]) for r in a.paths.where("query_id = 1").orderBy("place").collect()]
+    assert ("Ada Lovelace>Acme Corp>London", 1.0) in paths and a.entities.where("query_id = 2").count() == 0
+    got = H.retrieve(kb, asked, 3, methods=("entity", "lexical"), rounds=5)
+    assert got.where("query_id = 2 and array_contains(map_keys(contributions), 'entity')").count() == 0 and got.groupBy("query_id").count().where("count > 3").count() == 0
+    with pytest.raises(ValueError):
+        H.retrieve(kb, asked, methods=("magic",))
+    filtered = H.dense(kb.embeddings, asked, 5, {"source_id": "src-corpus-01"})
+    assert filtered.select("object_id").distinct().count() == 1
+    with pytest.raises(ValueError):
+        H.dense(kb.embeddings, asked, -1)
+    assert H.dense(kb.embeddings, asked, 0).count() == 0

@@ -9,7 +9,6 @@ executor is lost, because rows are sorted by id and text first.
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gnomon.functions.storage import shared_dir  # noqa: F401
+
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 6 << 20
 #: What stands for a null id where ids are compared: it sorts before all others.
@@ -42,19 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        top = f"file://{tempfile.mkdtemp(prefix='gnomon-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/gnomon-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A name like this one that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}

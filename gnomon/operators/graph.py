@@ -129,16 +129,8 @@ def merge_edges(events: DataFrame) -> DataFrame:
     return events.groupBy("subject", "predicate", "object").agg(F.min_by("id", "seq").alias("id"), F.max_by("confidence", "seq").alias("confidence"), F.concat_ws(",", F.sort_array(F.collect_set("source"))).alias("sources"))
 
 
-def open_triads(edges: DataFrame, top: int | None = None) -> DataFrame:
-    """a, b, shared: pairs without a direct edge that share neighbours, best first with `top`."""
-    both = edges.select(F.col("subject").alias("x"), F.col("object").alias("y")).unionByName(edges.select(F.col("object").alias("x"), F.col("subject").alias("y"))).where("x <> y").distinct()
-    pairs = both.select(F.col("y").alias("mid"), F.col("x").alias("a")).join(both.select(F.col("y").alias("mid"), F.col("x").alias("b")), "mid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    rest = pairs.join(both.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
-    return rest if top is None else rest.orderBy(F.desc("shared"), "a", "b").limit(top)
-
-
 def missing_relations(edges: DataFrame, top: int = 60, seeds: int = 400) -> DataFrame:
-    """The first `top` rows of open_triads(), without all pairs of a hub.
+    """a, b, shared: the `top` pairs without a direct edge that share most neighbours, without all pairs of a hub.
 
     Pairs among the `seeds` nodes of highest degree give a count that the last of the top pairs has at least (floor). Nodes
     of lower degree are out. Each other node leaves out some of its most frequent neighbours (at most floor - 1), in one

@@ -66,16 +66,9 @@ def feature_hash_embed(t):
     return R.hash_embedding(t("documents"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(coalesce(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5)
-SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, score FROM s QUALIFY rank <= 10""")
-def vector_topk(t):
-    v = t("embeddings")
-    return R.cosine_top(v.select("vec_id", "embedding"), v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-
-
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(coalesce(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, score FROM s QUALIFY rank <= 10""")
-def vector_topk_all(t):
+def vector_topk(t):
     v = t("embeddings")
     return R.cosine_top(v.select("vec_id", "embedding"), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
@@ -164,16 +157,9 @@ def edge_merge(t):
     return G.merge_edges(o.select(F.lit("order").alias("subject"), F.col("o_orderstatus").alias("predicate"), F.col("o_orderpriority").alias("object"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("confidence"), (F.col("o_custkey") % 5).cast("string").alias("source")))
 
 
-@query("""WITH e AS (SELECT 'n' || n_nationkey AS x, 'r' || n_regionkey AS y FROM nation), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e)
-SELECT p.x AS a, q.x AS b, count(*) AS shared FROM b p JOIN b q ON p.y = q.y AND p.x < q.x WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.x = p.x AND z.y = q.x) GROUP BY ALL""")
-def gap_missing_relation(t):
-    n = t("nation")
-    return G.open_triads(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("subject"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("object")))
-
-
 @query(f"""WITH {_EDGES}, b AS MATERIALIZED (SELECT subject AS x, object AS y FROM e WHERE subject <> object UNION SELECT object, subject FROM e WHERE subject <> object)
 SELECT p.x AS a, q.x AS b, count(*) AS shared FROM b p JOIN b q ON p.y = q.y AND p.x < q.x WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.x = p.x AND z.y = q.x) GROUP BY ALL ORDER BY shared DESC, a, b LIMIT 60""")
-def gap_missing_relation_all(t):
+def gap_missing_relation(t):
     return G.missing_relations(G.star_schema_graph(t))
 
 
@@ -376,19 +362,12 @@ def query_graph_filter(t):
     return G.query_edges(G.star_schema_graph(t), predicate="located_in", obj="nation:3")
 
 
-@query(f"""WITH {_EDGES}, s AS (SELECT subject AS id FROM e WHERE predicate = 'located_in' UNION SELECT object FROM e WHERE predicate = 'located_in')
-SELECT 'part:' || p_partkey AS id, 'disconnected_entity' AS kind, 1.0::DOUBLE AS uncertainty, 2.0::DOUBLE AS cost FROM part WHERE 'part:' || p_partkey NOT IN (SELECT id FROM s)""")
-def gap_disconnected(t):
-    parts = t("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
-    return G.disconnected(parts, G.star_schema_graph(t).where("predicate = 'located_in'"))
-
-
 _ENTITIES = (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("region", "r_regionkey"), ("part", "p_partkey"))
 
 
 @query(f"""WITH {_EDGES}, n AS ({" UNION ALL ".join(f"SELECT '{k}:' || {c} AS id FROM {k}" for k, c in _ENTITIES)})
 SELECT DISTINCT id, 'disconnected_entity' AS kind, 1.0::DOUBLE AS uncertainty, 2.0::DOUBLE AS cost FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE subject = id OR object = id)""")
-def gap_disconnected_all(t):
+def gap_disconnected(t):
     ids = [t(k).select(F.concat(F.lit(k + ":"), F.col(c).cast("string")).alias("id")) for k, c in _ENTITIES]
     return G.disconnected(reduce(DataFrame.unionByName, ids), G.star_schema_graph(t))
 

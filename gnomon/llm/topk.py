@@ -61,7 +61,8 @@ class Lists:
             found = found[self.ids[found] != own]
             best = np.concatenate([best, found])
             scores = np.concatenate([scores, self.vectors[found] @ query])
-            keep = np.lexsort((best, -scores))[:k]  # places are in the order of ids
+            # Places are in the order of ids.
+            keep = np.lexsort((best, -scores))[:k] if self.kind is not object else np.array(sorted(range(len(best)), key=lambda i: (-scores[i], best[i]))[:k], np.int64)
             best, scores, at = best[keep], scores[keep], to
             bound = query[up] @ self.sorted[up, n - at] + query[down] @ self.sorted[down, at - 1]
             if len(best) == k and bound < scores[-1]:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -115,11 +116,13 @@ def test_a_very_long_page(spark):
 
 
 def test_scores_beyond_doubles(spark):
-    big = [float(2**24 + 1), float(2**24 - 1), 1.0]
+    big = [float(2**21 + 1), float(2**21 - 1), 1.0]
     rows = [(0, big), (1, big), (2, [-x for x in big])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = [int(256 * x) for x in big]
     assert [(r["vec_id"], r["score"]) for r in K.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, sum(x * x for x in want)), (2, -sum(x * x for x in want))]
+    with pytest.raises(Exception, match="too large"):  # beyond 64 bits
+        K.top_k(df.select("vec_id", F.transform("embedding", lambda x: x * 1024).alias("embedding")), F.col("vec_id") == 0).collect()
 
 
 def test_cuts_cover():

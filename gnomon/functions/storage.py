@@ -38,3 +38,13 @@ def clear(spark: SparkSession) -> bool:
     """Deletes all tables that this application wrote below its folder. DataFrames that still read them fail then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_top(spark))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, each: int = 16 << 20) -> DataFrame:
+    """df over all cores, if it is so small that its files would be read by a few of them; else as it is.
+
+    Only the plan's own estimate of its size is asked for, and only the layout changes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * each else df

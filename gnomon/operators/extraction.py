@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gnomon.functions.storage import spread
 from gnomon.functions.text import stable_id
 
 MOST, OVERLAP = 800, 100
@@ -159,7 +160,7 @@ def extract(chunks: DataFrame, gazetteer: Gazetteer, patterns: list[tuple[str, s
             links.append([{"start": a, "end": b, "subject": entities[-1][s]["name"], "predicate": p, "object": entities[-1][o]["name"], "confidence": 1.0} for a, b, s, o, p in relations(t or "", here, compiled, strict)])
         return pd.DataFrame({"entities": pd.Series(entities, dtype=object), "relations": pd.Series(links, dtype=object)})
 
-    return chunks.withColumn("found", found(F.col(text))).select(*chunks.columns, "found.entities", "found.relations")
+    return spread(chunks).withColumn("found", found(F.col(text))).select(*chunks.columns, "found.entities", "found.relations")
 
 
 def _number(value: object) -> float:

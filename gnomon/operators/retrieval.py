@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gnomon.functions.storage import cut_lineage
+from gnomon.functions.storage import cut_lineage, spread
 from gnomon.functions.text import tokenize
 
 
@@ -22,7 +22,7 @@ def chunk_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
 
 def postings(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """ident, term, tf, length (tokens of the document)."""
-    tokens = docs.select(ident, tokenize(F.col(text)).alias("tokens"))
+    tokens = spread(docs.select(ident, text)).select(ident, tokenize(F.col(text)).alias("tokens"))
     return tokens.select(ident, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(ident, "term", "length").agg(F.count("*").alias("tf"))
 
 
@@ -32,7 +32,7 @@ def term_index(docs: DataFrame, terms: DataFrame, ident: str = "doc_id", text: s
     Texts are cut into tokens once; only tokens that are asked for go on, counted before they are shuffled. The table is
     written, since scoring reads it for the sizes, for the frequencies and for the postings.
     """
-    tokens = docs.select(ident, F.regexp_extract_all(F.col(text), F.lit("[a-zA-Z0-9]+"), F.lit(0)).alias("tokens"))
+    tokens = spread(docs.select(ident, text)).select(ident, F.regexp_extract_all(F.col(text), F.lit("[a-zA-Z0-9]+"), F.lit(0)).alias("tokens"))
     rows = tokens.select(ident, F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("tokens", F.array().cast("array<string>")))).alias("term")).withColumn("term", F.lower("term"))
     asked = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
     return cut_lineage(rows.join(asked, "term", "left_semi").groupBy(ident, "length", "term").agg(F.count("*").alias("tf")))
@@ -44,7 +44,7 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int = 10, k1: float = 1.5, b:
     asked = postings(queries.select(F.col(query), F.col("text")), query).select(query, "term", F.col("tf").alias("asked"))
     index = term_index(docs, asked, ident)
     stats = index.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    mine = index.where("term <> ''")
+    mine = spread(index.where("term <> ''"))
     n, mean, tf = F.col("n"), F.col("mean"), F.col("tf")
     # The query side carries all that hangs on the term alone, so that postings meet one small table.
     weight = F.col("asked") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1)
@@ -67,7 +67,7 @@ def containing(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: s
     word = lambda at: F.xxhash64(*[F.element_at("w", at + F.lit(j)) for j in range(grams)])
     long = wanted.where(F.size("w") >= grams + 2).select(item, "needle", word(F.floor((F.size("w") - grams) / 2).cast("int") + 1).alias("key"))
     places = F.when(F.size("w") >= grams, F.sequence(F.lit(1), F.size("w") - grams + 1)).otherwise(F.array().cast("array<int>"))
-    rows = docs.where("text is not null").select(F.col(ident), F.col("text").alias("hay"), split("text").alias("w"))
+    rows = spread(docs.where("text is not null").select(F.col(ident), "text")).select(F.col(ident), F.col("text").alias("hay"), split("text").alias("w"))
     keyed = rows.select(ident, "hay", "w", F.explode(F.array_distinct(F.transform(places, lambda i: word(i)))).alias("key"))
     found = keyed.join(long, "key").where(F.col("hay").contains(F.col("needle"))).select(item, ident)
     short = wanted.where(F.size("w") < grams + 2).select(item, "needle")
@@ -76,7 +76,7 @@ def containing(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: s
 
 def embed(docs: DataFrame, ident: str = "doc_id", dims: int = 256, text: str = "text") -> DataFrame:
     """ident, vector: signed feature hashing of tokens to length 1; zeros for a text without tokens."""
-    rows = docs.select(ident, F.explode(tokenize(F.col(text))).alias("t")).groupBy(ident, "t").agg(F.count("*").alias("c"))
+    rows = spread(docs.select(ident, text)).select(ident, F.explode(tokenize(F.col(text))).alias("t")).groupBy(ident, "t").agg(F.count("*").alias("c"))
     h = F.md5(F.col("t").cast("binary"))
     number = F.conv(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
@@ -88,7 +88,7 @@ def embed(docs: DataFrame, ident: str = "doc_id", dims: int = 256, text: str = "
 
 def hash_embedding(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """ident, dim, weight: signed feature hashing of tokens into 256 places, to length 1, without zeros."""
-    rows = docs.select(ident, F.explode(tokenize(F.col(text))).alias("t")).groupBy(ident, "t").agg(F.count("*").alias("c"))
+    rows = spread(docs.select(ident, text)).select(ident, F.explode(tokenize(F.col(text))).alias("t")).groupBy(ident, "t").agg(F.count("*").alias("c"))
     h = F.md5(F.col("t").cast("binary"))
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
     rows = rows.groupBy(ident, F.conv(F.substring(h, 1, 2), 16, 10).cast("long").alias("dim")).agg(F.sum(sign * F.col("c")).alias("s")).where("s <> 0")

@@ -165,3 +165,42 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "b b"), (2, "q w e r t y"), (3, None)], "query_id long, text string")
     texts = spark.createDataFrame([(1, "xq w e r t yz"), (2, "q w e r t"), (3, "a b b"), (4, None)], "doc_id long, text string")
     assert sorted((r["query_id"], r["doc_id"]) for r in R.containing(texts, items).collect()) == [(1, 3), (2, 1)]
+
+
+def orders_against_sql(spark, tmp_path, name, orders):
+    """A query and its SQL on a few orders (customer, status, price, date); the rows, sorted, if they are equal in every bit."""
+    rows = [(i, c, s, float(p), d, "1-URGENT") for i, (c, s, p, d) in enumerate(orders)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string").withColumn("o_orderdate", F.to_timestamp("o_orderdate")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * replace (o_orderdate::timestamp as o_orderdate) from '{tmp_path}/orders.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLE[name]})").fetchall())
+    return got
+
+
+# Halves of the sixth digit, where the double's product with 10**6 decides.
+TIES = [(1, "O", 62.25, "1999-01-01"), (2, "O", 62.75, "1999-01-01"), (3, "O", 122.25, "1999-01-01"), (4, "O", 1e9, "1999-01-01")]
+# A score of 0.69999952, shown as 0.7.
+NEARLY = [(5, "F", 283287.5, "1993-01-02"), (6, "F", 283280.0, "1993-01-02")]
+
+
+def test_claims_round_as_their_sql(spark, tmp_path):
+    got = orders_against_sql(spark, tmp_path, "claim_uncertainty", TIES + NEARLY)
+    assert [(r[0], r[1], r[3]) for r in got if r[0] in ("5:F", "6:F")] == [("5:F", 0.7, "verified"), ("6:F", 0.699985, "supported")]
+
+
+def test_states_of_scores_as_shown(spark, tmp_path):
+    assert orders_against_sql(spark, tmp_path, "verification_state", NEARLY) == [("supported", 1), ("verified", 1)]
+
+
+def test_rounding_and_means(spark):
+    one = spark.range(1)
+    values = [0.0001245, 0.5, -0.5, 1.5, -2.5, 2.0**60, -(2.0**60), 0.0]
+    con = duckdb.connect()
+    for digits in (0, 6):
+        got = one.select(*[X.binary_round(F.lit(v), digits) for v in values]).first()
+        assert list(got) == [con.execute(f"select round(?::double, {digits})", [v]).fetchone()[0] for v in values]
+    means = lambda *x: spark.createDataFrame([(v,) for v in x], "v double").agg(X.exact_mean(F.col("v"))).first()[0]
+    assert means(0.1, 0.2, 0.3) == means(0.3, 0.2, 0.1) == 0.6 / 3 and means(None, 2.0) == 2.0 and means(None) is None
+    assert means(1.0, float("inf")) == float("inf") and means(1e300, 1e300) == 1e300

@@ -7,6 +7,7 @@ candidates): candidates is an array of (id, description, target_entities, estima
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -126,22 +127,27 @@ class Budget:
 def select(scored: DataFrame, budget: Budget, used: Budget = Budget(0, 0, 0, 0.0, 0.0), workers: int = 1, top: int | None = None, least: float = 0.0, block: int = 10_000) -> DataFrame:
     """Candidates with selected and reason, best score first, as long as limits, needs, cost and time allow.
 
-    A candidate that is passed over uses nothing up, so every decision needs those before it. Only the best of each need
-    can be chosen, so the others are told apart by a ranking in parallel; what is left is read in blocks in the order of
-    score and stops at the limit. At most `limit` candidates are ever held.
+    A candidate that is passed over uses nothing up, so every decision needs those before it. What is left is read in blocks in
+    the order of score, without those whose need is taken or that no longer fit: what is spent only grows, so none of them can
+    be chosen later. The first of each block is chosen, so there are at most `limit` blocks and one that is empty. At most
+    `limit` candidates and a block are ever held.
     """
     if workers < 1 or (top is not None and top < 1):
         raise ValueError("workers and top must be positive")
     scored = cut_lineage(scored)
     limit = min(x for x in (workers, max(0, budget.investigations - used.investigations), max(0, budget.agent_runs - used.agent_runs), top) if x is not None)
     money, seconds = max(0.0, budget.cost - used.cost), max(0.0, budget.seconds - used.seconds) * workers
-    ordered = scored.select("id", "redundancy_key", "cost", "seconds", "score").withColumn("less", -F.col("score")).sort("less", "id")
+    spark = scored.sparkSession
+    ordered = scored.select("id", "redundancy_key", "cost", "seconds", "score").withColumn("less", -F.col("score"))
     chosen, keys, spent, took, after = [], set(), 0.0, 0.0, None
     while len(chosen) < limit:
-        rest = ordered.where(F.col("score") >= least)
+        # The sums are made in the order of the sums below, so that they agree in every bit.
+        rest = ordered.where((F.col("score") >= least) & (F.lit(spent) + F.col("cost") <= money) & (F.lit(took) + F.col("seconds") <= seconds))
+        if keys:
+            rest = rest.join(F.broadcast(spark.createDataFrame([(k,) for k in keys], "redundancy_key string")), "redundancy_key", "left_anti")
         if after is not None:
             rest = rest.where((F.col("less") > after[0]) | ((F.col("less") == after[0]) & (F.col("id") > after[1])))
-        rows = rest.limit(block).collect()
+        rows = rest.sort("less", "id").limit(block).collect()
         for r in rows:
             if len(chosen) < limit and r["redundancy_key"] not in keys and spent + r["cost"] <= money and took + r["seconds"] <= seconds:
                 chosen.append((r["id"], r["less"], r["cost"], r["seconds"], r["redundancy_key"]))
@@ -150,18 +156,17 @@ def select(scored: DataFrame, budget: Budget, used: Budget = Budget(0, 0, 0, 0.0
         if len(rows) < block:
             break
         after = (rows[-1]["less"], rows[-1]["id"])
-    # The reason of every other candidate, from what had been chosen when its turn came.
-    spark = scored.sparkSession
-    picked = spark.createDataFrame([(i, n, s, c, t, k) for n, (i, s, c, t, k) in enumerate(chosen)], "chosen_id string, n int, chosen_less double, c double, t double, k string")
-    key = picked.select(F.col("k").alias("redundancy_key"), F.struct(F.col("chosen_less").alias("less"), F.col("chosen_id").alias("id")).alias("taken"))
-    turns = picked.agg(F.sort_array(F.collect_list(F.struct(F.col("chosen_less").alias("less"), F.col("chosen_id").alias("id"), "c", "t"))).alias("turns"))
+    # The reason of every other candidate, from what had been chosen when its turn came: `n` of the turns, at what cost. Nearly
+    # all candidates come after the last turn, so only the others look through the turns.
+    key = spark.createDataFrame([(k, (s, i)) for i, s, _, _, k in chosen], "redundancy_key string, taken struct<less:double,id:string>")
+    costs = [0.0, *accumulate(c for _, _, c, _, _ in chosen)]
+    turns = spark.createDataFrame([([(s, i) for i, s, *_ in chosen], costs)], "turns array<struct<less:double,id:string>>, costs array<double>")
     rows = scored.withColumn("less", -F.col("score")).join(F.broadcast(key), "redundancy_key", "left").crossJoin(F.broadcast(turns))
     me = F.struct("less", "id")
-    before = F.filter("turns", lambda x: F.struct(x["less"], x["id"]) < me)
-    sums = lambda field: F.aggregate(before, F.lit(0.0), lambda a, x: a + x[field])
-    reason = F.when(F.array_contains(F.transform("turns", lambda x: x["id"]), F.col("id")), None).when(F.size(before) >= limit, "selection_limit").when(F.col("score") < least, "below_minimum_score")
-    reason = reason.when(F.col("taken") < me, "redundant_evidence_need").when(sums("c") + F.col("cost") > money, "cost_budget").otherwise("execution_time_budget")
-    return rows.withColumn("reason", reason).withColumn("selected", F.col("reason").isNull()).drop("less", "taken", "turns")
+    rows = rows.withColumn("n", F.when(F.try_element_at("turns", F.lit(-1)) < me, len(chosen)).otherwise(F.size(F.filter("turns", lambda x: x < me))))
+    reason = F.when(F.col("taken.id") == F.col("id"), None).when(F.col("n") >= limit, "selection_limit").when(F.col("score") < least, "below_minimum_score")
+    reason = reason.when(F.col("taken") < me, "redundant_evidence_need").when(F.element_at("costs", F.col("n") + 1) + F.col("cost") > money, "cost_budget").otherwise("execution_time_budget")
+    return rows.withColumn("reason", reason).withColumn("selected", F.col("reason").isNull()).drop("less", "taken", "turns", "costs", "n")
 
 
 # Plans: nodes (id) and edges (parent, id).

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gnomon.functions.storage import cut_lineage
 from gnomon.operators import knowledge as K
 from gnomon.operators import planning as P
 from gnomon.plans.registry import query
@@ -50,7 +51,9 @@ def candidate_forecast(t):
 
 @query()
 def candidate_select(t):
-    scored = P.score(P.candidates(_planned(t)))
+    # Written once, with what a score and a choice need only: the texts of the candidates are not asked for.
+    rows = cut_lineage(P.candidates(_planned(t)).select("id", "gap_id", "redundancy_key", "gain", "importance", "reduction", "availability", "priority", "cost", "seconds", "risk"))
+    scored = P.score(rows).select("id", "gap_id", "redundancy_key", "cost", "seconds", "score")
     return P.select(scored, P.Budget(cost=40.0, seconds=600.0), workers=12, least=0.1).select("id", "gap_id", "selected", "reason")
 
 

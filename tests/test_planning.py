@@ -44,6 +44,19 @@ def test_select_is_greedy(spark, seed):
     assert P.select(df.limit(0), P.Budget()).count() == 0
 
 
+@pytest.mark.parametrize(("limit", "cost"), [(5, 4.0), (4, 100.0)])
+def test_select_reads_few_blocks(spark, monkeypatch, limit, cost):
+    """What no longer fits, or whose need is taken, is not read block by block: a budget that is used up ends the search."""
+    rows = [(f"c{i:03}", "same" if i < 100 else f"k{i % 3}", 2.0, 1.0, 1 - i / 1000) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, redundancy_key string, cost double, seconds double, score double")
+    reads, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: reads.append(1) or collect(self))
+    got = P.select(df, P.Budget(cost=cost, seconds=1000.0), workers=limit, block=10)
+    assert len(reads) <= limit + 1
+    monkeypatch.undo()
+    assert {r["id"]: r["reason"] for r in got.collect()} == plain_select(rows, limit, cost, 1000.0 * limit, 0.0)
+
+
 def test_candidates_count_once(spark):
     own = [("x", "Look at it. ", None, 0.0, {"risk": "2", "estimated_duration_seconds": "nan?"}), ("y", "Look at it?", [], 3.0, None)]
     gaps = [("g1", "contradiction", "what", "why", ["a"], 0.5, 0.5, 2.0, 0.4, own), ("g2", "new_kind", " Is it so?.", "why", None, 2.0, 0.5, 0.0, 2.0, []), ("g3", "stale", "d", "r", [], 0.8, 0.1, 1.0, 0.3, None)]

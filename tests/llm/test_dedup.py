@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from gnomon.llm import common as C
 from gnomon.llm import jaccard_join as J
 from gnomon.llm import suffix_dedup as S
 from gnomon.llm.components import components
@@ -194,3 +196,16 @@ def test_small_sets_do_not_meet_by_chance():
         sig, doc, _ = J.signatures(np.sort(sets, axis=1).ravel(), np.full(3000, size), levels)
         many = np.unique(sig, return_counts=True)[1]
         assert many.max() <= 4 and np.bincount(doc).max() <= 100, size
+
+
+def test_a_passage_in_equal_surroundings_is_not_hot():
+    """An anchor is hot by the contexts that its blocks would send, not by how often it stands there."""
+    rnd = np.random.default_rng(5)
+    text = lambda n: bytes(rnd.integers(97, 123, n, dtype=np.uint8))
+    line = text(600)
+    none = pa.table({"block": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "num": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+    sent = [S._send(100, 32, 0)(pa.table({"block": pa.array([b] * 20, pa.int32()), "doc_id": list(range(20 * b, 20 * b + 20)), "text": [text(150) + line + text(150) for _ in range(20)]}), none) for b in range(2)]
+    for told, x in zip(S._answer(10)(pa.concat_tables(sent)).to_pylist(), sent, strict=True):
+        n = len(C.unpack(x.column("anchors")[0].as_py()))
+        again, hot = C.unbits(told["data"], 2 * n).reshape(2, n)
+        assert (again & ~hot).sum() >= 5 and not (hot & ~again).any()

@@ -194,6 +194,14 @@ def test_states_of_scores_as_shown(spark, tmp_path):
     assert orders_against_sql(spark, tmp_path, "verification_state", NEARLY) == [("supported", 1), ("verified", 1)]
 
 
+# Without its 0.9 seconds the score is 0.69999949936, with them 0.69999950069, which is shown as 0.7.
+IN_A_SECOND = [(7, "F", 260000.0, "1999-03-28 19:33:33.9"), (8, "F", 260000.0, "1999-03-28 19:33:33")]
+
+
+def test_states_of_claims_seen_within_a_second(spark, tmp_path):
+    assert orders_against_sql(spark, tmp_path, "verification_state", IN_A_SECOND) == [("supported", 1), ("verified", 1)]
+
+
 def test_rounding_and_means(spark):
     one = spark.range(1)
     values = [0.0001245, 0.5, -0.5, 1.5, -2.5, 2.0**60, -(2.0**60), 0.0]

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from gnomon.llm import common as C
@@ -209,3 +210,23 @@ def test_a_passage_in_equal_surroundings_is_not_hot():
         n = len(C.unpack(x.column("anchors")[0].as_py()))
         again, hot = C.unbits(told["data"], 2 * n).reshape(2, n)
         assert (again & ~hot).sum() >= 5 and not (hot & ~again).any()
+
+
+def test_removal_needs_no_anchors(monkeypatch):
+    """The places of contexts come back to their block, so that its anchors are not computed a third time."""
+    rnd = random.Random(3)
+    text = lambda n: bytes(rnd.choice(b"abcdefgh \0") for _ in range(n))
+    line, other = text(300), text(150)
+    docs = [(1, text(50) + line), (2, line + text(80) + other), (2, other + line), (3, b""), (None, other + text(20) + other), (4, line * 2), (5, text(99))]
+    table = pa.table({"block": pa.array([0] * len(docs), pa.int32()), "doc_id": [i for i, _ in docs], "text": pa.array([t for _, t in docs], pa.binary())})
+    note = C.rows(S._NOTE, [])
+    for hot in (1, 2000):
+        sent = S._send(100, 32, 1)(table, note)
+        told = [S._answer(hot)(sent.filter(pa.compute.equal(sent["shard"], s))) for s in set(sent["shard"].to_pylist())]
+        contexts = S._contexts(100, 32, 1, 3)(table, pa.concat_tables(told))
+        gone = [S._bucket(100)(contexts.filter(pa.compute.equal(contexts["bucket"], b))) for b in set(contexts["bucket"].to_pylist())]
+        with monkeypatch.context() as m:
+            m.setattr(S, "anchors", None)
+            out = S._remove(100)(table, pa.concat_tables(gone))
+        have = sorted((C.NULL_ID if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.to_pylist())
+        assert have == strings([(C.NULL_ID if i is None else i, t) for i, t in docs], 100)
